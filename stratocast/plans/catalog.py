@@ -331,3 +331,7 @@ def q_apply_threshold(spark, sf_dir):
     f"CAST({c} IS NULL AS INTEGER)" for c in OBS_COLS) + " AS n_null FROM obs")
 def q_null_count_per_row(spark, sf_dir):
     return P.null_count_per_row(S.observations(spark, sf_dir)).select("l_orderkey", "l_linenumber", "n_null")
+
+
+# more registered queries (import order = registry order)
+from . import catalog_eval  # noqa: E402,F401
