@@ -336,3 +336,4 @@ def q_null_count_per_row(spark, sf_dir):
 # more registered queries (import order = registry order)
 from . import catalog_eval  # noqa: E402,F401
 from . import catalog_drift  # noqa: E402,F401
+from . import catalog_prep  # noqa: E402,F401
