@@ -61,14 +61,20 @@ def select_features(df: DataFrame, categorical: Sequence[str], drop: Sequence[st
 
 
 # P6
-def align_columns(df: DataFrame, columns: T.StructType | Sequence[tuple[str, str]]) -> DataFrame:
-    """Keep the asked columns in order, drop extras, add missing ones as typed nulls."""
+def align_columns(df: DataFrame, columns: T.StructType | Sequence[tuple[str, str]],
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """Keep the asked columns in order, drop extras, add missing ones as typed nulls.
+
+    ``keep`` names pass-through columns (ids, timestamps) placed first.
+    """
     if isinstance(columns, T.StructType):
         spec = [(f.name, f.dataType) for f in columns.fields]
     else:
         spec = list(columns)
     have = set(df.columns)
-    return df.select(*[(F.col(n).cast(t) if n in have else typed_null(t)).alias(n) for n, t in spec])
+    names = {n for n, _ in spec}
+    passthrough = [F.col(c) for c in keep if c in have and c not in names]
+    return df.select(*passthrough, *[(F.col(n).cast(t) if n in have else typed_null(t)).alias(n) for n, t in spec])
 
 
 # P7

@@ -338,3 +338,4 @@ from . import catalog_eval  # noqa: E402,F401
 from . import catalog_drift  # noqa: E402,F401
 from . import catalog_prep  # noqa: E402,F401
 from . import catalog_monitor  # noqa: E402,F401
+from . import catalog_stream  # noqa: E402,F401

@@ -84,7 +84,21 @@ scored AS (
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = ntz_to_utc(table(spark, sf_dir, "events"), ["ts"])
+    return as_prediction_log(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream (the single driver file of the folder)."""
+    schema = table(spark, sf_dir, "events").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(sf_dir)
+
+
+def as_prediction_log(events: DataFrame) -> DataFrame:
+    """Events (batch or stream) in prediction-log shape."""
+    ev = ntz_to_utc(events, ["ts"])
     proba = F.col("value") / (F.col("value") + F.lit(50.0))
     return ev.select(
         "ts", F.col("event_id").cast("string").alias("request_id"), "event_id", "user_id",
