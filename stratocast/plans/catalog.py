@@ -332,10 +332,3 @@ def q_apply_threshold(spark, sf_dir):
 def q_null_count_per_row(spark, sf_dir):
     return P.null_count_per_row(S.observations(spark, sf_dir)).select("l_orderkey", "l_linenumber", "n_null")
 
-
-# more registered queries (import order = registry order)
-from . import catalog_eval  # noqa: E402,F401
-from . import catalog_drift  # noqa: E402,F401
-from . import catalog_prep  # noqa: E402,F401
-from . import catalog_monitor  # noqa: E402,F401
-from . import catalog_stream  # noqa: E402,F401
