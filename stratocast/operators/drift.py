@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null, ratio
-from .prefix import running_totals
+from .prefix import attach_one_row, broadcast_if_small, running_totals
 
 NUMERIC_METHOD = "wasserstein_distance_norm"
 CATEGORICAL_METHOD = "jensenshannon"
@@ -66,7 +66,7 @@ def wasserstein_from_long(long: DataFrame, group_cols: Sequence[str] = (), std_f
     cum = running_totals(counts, "value", ["n_ref", "n_cur"], partition_cols=keys, with_next=True, **prefix_kw)
     t = totals.withColumnRenamed("n_ref", "t_ref").withColumnRenamed("n_cur", "t_cur")
     gap = F.abs(ratio(F.col("cum_n_ref"), F.col("t_ref")) - ratio(F.col("cum_n_cur"), F.col("t_cur")))
-    area = (cum.join(t, keys, "inner")
+    area = (cum.join(broadcast_if_small(t), keys, "inner")
                .where(F.col("next_value").isNotNull())
                .groupBy(*keys).agg(F.sum(gap * (F.col("next_value") - F.col("value"))).alias("area")))
     out = totals.join(area, keys, "left")
@@ -88,7 +88,7 @@ def js_from_long(long: DataFrame, group_cols: Sequence[str] = (), base: float |
     ref = F.col("is_ref")
     counts = long.groupBy(*keys, "value").agg(F.count_if(ref).alias("c_ref"), F.count_if(~ref).alias("c_cur"))
     totals = counts.groupBy(*keys).agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    j = counts.join(totals, keys, "inner")
+    j = counts.join(broadcast_if_small(totals), keys, "inner")
     p = ratio(F.col("c_ref"), F.col("n_ref"))
     q = ratio(F.col("c_cur"), F.col("n_cur"))
     m = (p + q) / 2
@@ -170,10 +170,10 @@ def drift_summary(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], catego
                   ts: Column | None = None, **kw) -> DataFrame:
     """One-row verdict: ``ok`` with the share and the retrain advice, or
     ``insufficient`` (never a verdict) when the current table is too small."""
-    sizes = ref.agg(F.count(F.lit(1)).alias("n_reference")).join(
-        F.broadcast(cur.agg(F.count(F.lit(1)).alias("n_current"))), how="left", on=F.lit(True))
+    sizes = attach_one_row(ref.agg(F.count(F.lit(1)).alias("n_reference")),
+                           cur.agg(F.count(F.lit(1)).alias("n_current")))
     ds = dataset_drift(column_drift(ref, cur, numeric, categorical, column_threshold, **kw))
-    j = sizes.join(F.broadcast(ds), how="left", on=F.lit(True))
+    j = attach_one_row(sizes, ds)
     enough = F.col("n_current") >= F.lit(int(min_samples))
     share = F.when(enough, F.col("share"))
     return j.select(

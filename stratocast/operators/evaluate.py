@@ -16,14 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio, ratio_or_zero, rnd
+from .prefix import attach_one_row as _one_row_join
 from .prefix import running_totals, row_index
 
 
-def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame to every row (broadcast of one row)."""
-    return df.join(F.broadcast(one), how="left", on=F.lit(True))
-
-
 # V1 -------------------------------------------------------------------------
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """tp, fp, tn, fn of a 0/1 (or boolean) prediction against a 0/1 label."""

@@ -70,32 +70,46 @@ def histogram(log: DataFrame, value: str = "proba", bounds: Sequence[float] = PR
 
 
 # O3 -------------------------------------------------------------------------
-def histogram_quantile(hist: DataFrame, q: float, group_cols: Sequence[str] = (), name: str = "quantile") -> DataFrame:
-    """Linear interpolation inside the bucket that holds rank q x total.
+def histogram_quantiles(hist: DataFrame, qs: Sequence[float], group_cols: Sequence[str] = (),
+                        names: Sequence[str] | None = None) -> DataFrame:
+    """Linear interpolation inside the bucket that holds rank q x total, for
+    several q in one aggregate.
 
     Same rules as the usual monitoring function: the +Inf bucket returns the
     highest finite bound, a first bucket with bound <= 0 returns that bound,
-    no observation gives null.
+    no observation gives null. The window runs over at most len(bounds) + 1
+    rows per group.
     """
+    names = list(names or [f"p{int(round(q * 100))}" for q in qs])
     w = Window.partitionBy(*group_cols).orderBy("bucket")
+    whole = Window.partitionBy(*group_cols)
     h = hist.select(*group_cols, "bucket", "le", "cum_count",
                     F.lag("le").over(w).alias("prev_le"), F.lag("cum_count").over(w).alias("prev_cum"),
-                    F.max("cum_count").over(Window.partitionBy(*group_cols)).alias("total"),
-                    F.max("bucket").over(Window.partitionBy(*group_cols)).alias("last"))
-    rank = F.lit(float(q)) * F.col("total")
-    hit = h.where((F.col("cum_count") >= rank) | (F.col("bucket") == F.col("last")))
-    first = hit.groupBy(*group_cols).agg(F.min_by(F.struct(*[F.col(c) for c in h.columns if c not in group_cols]),
-                                                  F.col("bucket")).alias("b"))
-    b = F.col("b")
-    rk = F.lit(float(q)) * b["total"]
-    start = F.coalesce(b["prev_le"], F.lit(0.0))
-    cnt = b["cum_count"] - F.coalesce(b["prev_cum"], F.lit(0))
-    interp = start + (b["le"] - start) * ratio(rk - F.coalesce(b["prev_cum"], F.lit(0)), cnt)
-    val = (F.when(b["total"] == 0, F.lit(None).cast("double"))
-            .when(b["le"].isNull(), b["prev_le"])
-            .when((b["bucket"] == 0) & (b["le"] <= 0), b["le"])
-            .otherwise(interp))
-    return first.select(*group_cols, val.alias(name))
+                    F.max("cum_count").over(whole).alias("total"), F.max("bucket").over(whole).alias("last"))
+    fields = F.struct(*[F.col(c) for c in ("bucket", "le", "cum_count", "prev_le", "prev_cum", "total")])
+    aggs = []
+    for q, name in zip(qs, names):
+        hit = (F.col("cum_count") >= F.lit(float(q)) * F.col("total")) | (F.col("bucket") == F.col("last"))
+        aggs.append(F.min_by(fields, F.when(hit, F.col("bucket"))).alias(f"_b_{name}"))
+    first = h.groupBy(*group_cols).agg(*aggs)
+    out = []
+    for q, name in zip(qs, names):
+        b = F.col(f"_b_{name}")
+        rk = F.lit(float(q)) * b["total"]
+        start = F.coalesce(b["prev_le"], F.lit(0.0))
+        prev = F.coalesce(b["prev_cum"], F.lit(0))
+        interp = start + (b["le"] - start) * ratio(rk - prev, b["cum_count"] - prev)
+        val = (F.when(b["total"] == 0, F.lit(None).cast("double"))
+                .when(b["le"].isNull(), b["prev_le"])
+                .when((b["bucket"] == 0) & (b["le"] <= 0), b["le"])
+                .otherwise(interp))
+        out.append(val.alias(name))
+    return first.select(*group_cols, *out)
+
+
+def histogram_quantile(hist: DataFrame, q: float, group_cols: Sequence[str] = (), name: str = "quantile") -> DataFrame:
+    """One quantile of a cumulative histogram (see :func:`histogram_quantiles`)."""
+    return histogram_quantiles(hist, [q], group_cols, [name])
 
 
 # O4 -------------------------------------------------------------------------
@@ -129,12 +143,7 @@ def latency_quantiles(requests: DataFrame, value: str, width: str = "5 minutes",
     src = requests.select(win.alias("w"), F.col(value))
     src = src.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), value)
     hist = histogram(src, value, bounds, ["window_start", "window_end"])
-    out = None
-    for q in qs:
-        name = f"p{int(round(q * 100))}"
-        part = histogram_quantile(hist, q, ["window_start", "window_end"], name)
-        out = part if out is None else out.join(part, ["window_start", "window_end"], "inner")
-    return out
+    return histogram_quantiles(hist, qs, ["window_start", "window_end"])
 
 
 # O7 -------------------------------------------------------------------------

@@ -38,6 +38,25 @@ BROADCAST_ROWS = 1_000_000
 _BKT = "_pfx_bucket"
 
 
+def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the values of a one-row frame (totals, counts) to every row.
+
+    The single row is fetched (a bounded scalar action) and its values become
+    typed literals: no join, no shuffle of ``df``. An empty frame gives nulls.
+    """
+    row = one.first()
+    cols = [F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name)
+            for f in one.schema.fields]
+    return df.select("*", *cols)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when its row count (checked, after persisting it)
+    is at most ``max_rows``; otherwise leave the join strategy to AQE."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
 def collapse(df: DataFrame, keys: Sequence[str], sum_cols: Sequence[str | Column],
              names: Sequence[str] | None = None) -> DataFrame:
     """One row per distinct key tuple with the sums of ``sum_cols``.
@@ -96,9 +115,9 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         *[F.coalesce(F.sum(f"_pfx_b_{c}").over(wprev), F.lit(0)).alias(f"_pfx_o_{c}") for c in sum_cols],
         F.lead("_pfx_first").over(wb).alias("_pfx_next_first"),
     )
-    if not partition_cols:
-        # at most max_buckets rows: a proven bound, safe to broadcast
-        offsets = F.broadcast(offsets)
+    # groups x buckets rows: broadcast after a size check (always small
+    # without partition columns, where it is at most max_buckets rows)
+    offsets = F.broadcast(offsets) if not partition_cols else broadcast_if_small(offsets)
     joined = bucketed.join(offsets, [*partition_cols, _BKT], "inner")
 
     # (4) window inside each (partition, bucket)

@@ -79,10 +79,8 @@ def _quantile_sql(hist: str, q: float, name: str, group: str = "") -> str:
 SELECT round(a.p50, 6) AS p50, round(c.p90, 6) AS p90
 FROM {_quantile_sql('hist', 0.5, 'p50')} a, {_quantile_sql('hist', 0.9, 'p90')} c""")
 def q_histogram_quantile(spark, sf_dir):
-    hist = O.histogram(_plog(spark, sf_dir), "proba", O.PROBA_BOUNDS).withColumn("_g", F.lit(1))
-    a = O.histogram_quantile(hist, 0.5, ["_g"], "p50")
-    c = O.histogram_quantile(hist, 0.9, ["_g"], "p90")
-    return r6(a.join(c, "_g").drop("_g"), ["p50", "p90"])
+    hist = O.histogram(_plog(spark, sf_dir), "proba", O.PROBA_BOUNDS)
+    return r6(O.histogram_quantiles(hist, [0.5, 0.9]), ["p50", "p90"])
 
 
 # O4 / O5 --------------------------------------------------------------------
