@@ -147,3 +147,40 @@ def q_retrain_decision(spark, sf_dir):
     now = F.lit("2024-02-01 12:00:00").cast("timestamp_ntz")
     out = R.retrain_decision(r6(_summary(spark, sf_dir), ["share"]), now, 36.0)
     return r6(out, ["age_hours"])
+
+
+# R6 / R7 (rows-only: seeded draws are checked by properties in tests) -------
+def _calibration(spark, sf_dir):
+    from ..operators.sampling import sample_exact
+    from ..sources import table
+    li = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key")
+    cols = [key, *NUM, *CAT]
+    normal = li.select(*cols)
+    # shifted traffic: one atypical group (returned lines), as the reference shifts to one station
+    shifted = li.where(F.col("l_returnflag") == "R").select(*cols)
+    reference = sample_exact(normal, 5000, seed=42, key_cols=["row_key"]).drop("row_key")
+    return R.calibrate(reference, normal, shifted, "row_key", NUM, CAT, sizes=(50, 100, 200, 400, 800, 1500),
+                       draws_normal=8, draws_shifted=5, seed=42)
+
+
+@query("calibrate")
+def q_calibrate(spark, sf_dir):
+    return r6(R.calibration_table(_calibration(spark, sf_dir)), ["min_share", "median_share", "max_share"])
+
+
+@query("separating_interval")
+def q_separating_interval(spark, sf_dir):
+    return r6(R.separating_interval(_calibration(spark, sf_dir)), ["normal_max", "shifted_min"])
+
+
+# S2 --------------------------------------------------------------------------
+@query("load_reference", "SELECT least(5000, count(*)) AS n_rows, 9 AS n_cols FROM lineitem")
+def q_load_reference(spark, sf_dir):
+    from ..sources import table
+    from ..sources.observations import load_reference
+    li = table(spark, sf_dir, "lineitem")
+    tracked = [*NUM, *CAT, "l_shipdate", "l_suppkey", "l_partkey"]
+    ref = load_reference(spark, f"{sf_dir}/no-frozen-reference", li, n=5000, seed=42, tracked=tracked,
+                         key_cols=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return ref.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(ref.columns)))

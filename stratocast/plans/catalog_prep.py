@@ -172,3 +172,15 @@ def q_score(spark, sf_dir):
               *[(c, "string") for c in CAT], ("month", "int")]
     return M.score(m, te, schema, threshold=0.5, version="1").select(
         "l_orderkey", "l_linenumber", "proba", "decision", "threshold", "model_version")
+
+
+# P5 -------------------------------------------------------------------------
+@query("feature_lists", """
+SELECT * FROM (VALUES ('l_quantity', 'numeric', 0), ('l_extendedprice', 'numeric', 1),
+  ('l_discount', 'numeric', 2), ('l_tax', 'numeric', 3), ('l_linestatus', 'categorical', 0),
+  ('today_flag', 'categorical', 1), ('month', 'categorical', 2)) t(name, kind, position)""")
+def q_feature_lists(spark, sf_dir):
+    lab = _labelled(spark, sf_dir).select(*NUM, *CAT, "month", "l_shipdate", "target_flag", "label")
+    nums, cats = P.feature_lists(lab, CAT + ["month"], drop=["l_shipdate", "target_flag", "label"])
+    rows = [(n, "numeric", i) for i, n in enumerate(nums)] + [(c, "categorical", i) for i, c in enumerate(cats)]
+    return spark.createDataFrame(rows, "name string, kind string, position int")
