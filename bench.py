@@ -20,6 +20,7 @@ sys.path.insert(0, ROOT)
 from stratocast.plans import queries as catalog  # noqa: E402
 from stratocast.plans import catalog_prep as CP  # noqa: E402
 from stratocast.plans import models as M  # noqa: E402
+from stratocast.operators.prefix import release_cached  # noqa: E402
 from stratocast.session import get_spark  # noqa: E402
 
 HEADLINE = [
@@ -67,6 +68,7 @@ def main() -> None:
         t0 = time.perf_counter()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        release_cached()
         print(f"{name}: {times[name]}s", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",

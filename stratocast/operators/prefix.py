@@ -1,7 +1,7 @@
 """Ordered running sums without a single-task window.
 
 A window without ``partitionBy`` sends every row to one task. That is fine
-for a few hundred thousand rows and fatal at cluster scale, where the
+for up to about a million small rows and fatal at cluster scale, where the
 ordered input (distinct scores, distinct values of a measured column) can
 hold billions of rows, and one partition key may hold a third of them.
 
@@ -29,7 +29,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 1_000_000
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 # A side of at most this many rows is broadcast; above it AQE picks the join.
@@ -37,6 +37,24 @@ BROADCAST_ROWS = 1_000_000
 
 _BKT = "_pfx_bucket"
 
+# intermediates persisted by the operators of this package (released by release_cached)
+_CACHED: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that several jobs read, and remember it."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHED.append(out)
+    return out
+
+
+def release_cached() -> int:
+    """Unpersist the intermediates kept so far (call when a flow is done)."""
+    n = len(_CACHED)
+    while _CACHED:
+        _CACHED.pop().unpersist()
+    return n
+
 
 def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach the values of a one-row frame (totals, counts) to every row.
@@ -53,7 +71,7 @@ def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when its row count (checked, after persisting it)
     is at most ``max_rows``; otherwise leave the join strategy to AQE."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
@@ -89,7 +107,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     within the partition (null for the last one).
     """
     partition_cols = list(partition_cols)
-    base = df.persist(StorageLevel.MEMORY_AND_DISK)
+    base = keep(df)
     n = base.count()
     if n <= small_rows:
         return _plain(base, order_col, sum_cols, partition_cols, descending, with_next, prefix)
