@@ -61,7 +61,16 @@ def q_stream_outcome_share(spark, sf_dir):
     return utc_to_ntz(r6(out, ["share"]))
 
 
-@query("stream_sustained_sessions")
+@query("stream_sustained_sessions", S.with_ctes(S.PREDICTION_LOG_SQL).rstrip() + """,
+s AS (SELECT event_type, ts FROM plog WHERE value > 20),
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 900000000
+                     THEN 1 ELSE 0 END AS brk
+      FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+sess AS (SELECT event_type, min(ts) AS start, max(ts) AS "end", count(*) AS n_samples FROM i GROUP BY event_type, sid)
+SELECT event_type, start, "end", n_samples, (epoch_us("end") - epoch_us(start)) / 1e6 AS duration_s FROM sess
+WHERE epoch_us("end") - epoch_us(start) >= 300000000
+  AND "end" + INTERVAL 900 SECOND <= (SELECT max(ts) FROM plog) - INTERVAL 10 MINUTE""")
 def q_stream_sustained_sessions(spark, sf_dir):
     log = S.as_prediction_log(S.events_stream(spark, sf_dir))
     out = MS.sustained_sessions_stream(log, F.col("value") > 20, hold_seconds=300, step_seconds=600,

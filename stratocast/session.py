@@ -67,3 +67,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the checkpoint directory for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a large input (for spark-submit or the builder).
+
+    Scan splits and shuffle partitions are sized so one task handles about
+    ``target_partition_bytes``; AQE coalesces small shuffle partitions and
+    splits skewed ones at run time, so over-partitioning is cheap. The
+    broadcast limit stays at Spark's default: the operators broadcast only
+    tables whose row count they checked.
+    """
+    slots = max(1, executors * cores_per_executor)
+    shuffle = max(slots * 2, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.default.parallelism": str(shuffle),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+        "spark.ui.enabled": "false",
+    }

@@ -31,3 +31,36 @@ def test_stream_dedup_of_replayed_requests(spark):
     out = read_output(spark, run_available(s.select("request_id"), "t_dedup"), "request_id string")
     n = S.prediction_log(spark, SF_SMALL).count()
     assert out.count() == n
+
+
+def test_streaming_scorer_writes_log_and_rejected(spark, tmp_path):
+    from stratocast.operators import rows as P
+    from stratocast.plans import models as M
+    from stratocast.sources.prediction_log import read_prediction_log
+    from stratocast.streaming.scoring import start_scoring
+    from pyspark.sql import types as T
+    import json
+    import os
+
+    rows = [(float(i % 17), "a" if i % 3 else "b", (i % 14), i % 2, f"r{i}") for i in range(200)]
+    schema = "x double, c string, Month int, label int, request_id string"
+    src = tmp_path / "in"
+    spark.createDataFrame(rows, schema).write.parquet(str(src))
+    model = M.train(spark.read.parquet(str(src)).where("Month between 1 and 12"), ["x"], ["c"], "logreg",
+                    overrides={"maxIter": 5})
+    stream = spark.readStream.schema(schema).parquet(str(src)).withColumn("ts", F.current_timestamp())
+    feats = [("x", "double"), ("c", "string"), ("Month", "int")]
+    q1, q2 = start_scoring(model, stream, feats, P.feature_record_rules("Month"), str(tmp_path / "log"),
+                           str(tmp_path / "rejected"), str(tmp_path / "ckpt"), 0.5, "1",
+                           trigger={"availableNow": True})
+    q1.awaitTermination(300)
+    q2.awaitTermination(300)
+    fs = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("c", T.StringType()),
+                       T.StructField("Month", T.IntegerType())])
+    logged = read_prediction_log(spark, str(tmp_path / "log"), fs)
+    rejected = spark.read.json(str(tmp_path / "rejected"))
+    n_bad = sum(1 for r in rows if not 1 <= r[2] <= 12)
+    assert logged.count() == 200 - n_bad and rejected.count() == n_bad
+    line = next(open(os.path.join(tmp_path / "log", f)).readline()
+                for f in os.listdir(tmp_path / "log") if f.endswith(".json"))
+    assert set(json.loads(line)) == {"ts", "request_id", "model_version", "threshold", "proba", "label", "features"}
