@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 
 # Q1
 def expect_grid(df: DataFrame, col: str, expected: Sequence) -> DataFrame:
@@ -18,14 +20,16 @@ def expect_grid(df: DataFrame, col: str, expected: Sequence) -> DataFrame:
 
 
 # Q2
-def expect_monotone(df: DataFrame, order: str, value: str, increasing: bool = False) -> DataFrame:
+def expect_monotone(df: DataFrame, order: str, value: str, increasing: bool = False, **prefix_kw) -> DataFrame:
     """Rows where ``value`` moves against the expected direction as ``order`` rises.
 
-    Meant for bounded tables (threshold grids, thinned curves); the window is
-    over the whole table.
+    The previous value is the ``next`` value in descending order, taken by the
+    bucketed running-sum operator, so no window holds the whole table.
+    Output: order, value, prev_value (``order`` values must be unique).
     """
-    w = Window.orderBy(order)
-    out = df.select(order, value, F.lag(value).over(w).alias(f"prev_{value}"))
+    base = df.select(order, value)
+    prev = running_totals(base, order, [], descending=True, next_cols=[value], **prefix_kw)
+    out = prev.select(order, value, F.col(f"next_{value}").alias(f"prev_{value}"))
     bad = F.col(value) < F.col(f"prev_{value}") if increasing else F.col(value) > F.col(f"prev_{value}")
     return out.where(bad)
 

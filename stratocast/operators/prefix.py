@@ -98,19 +98,21 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
                    with_next: bool = False, prefix: str = "cum_",
                    small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   max_buckets: int = MAX_BUCKETS, next_cols: Sequence[str] = ()) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` in ``order_col`` order.
 
     Rows must be unique per (``partition_cols``, ``order_col``) and the order
     column must be numeric and not null; use :func:`collapse` first. With
     ``with_next`` a column ``next_{order_col}`` holds the following order value
-    within the partition (null for the last one).
+    within the partition (null for the last one); ``next_cols`` does the same
+    for other columns (a ``lead`` that crosses bucket borders).
     """
     partition_cols = list(partition_cols)
+    nexts = list(dict.fromkeys(([order_col] if with_next else []) + list(next_cols)))
     base = keep(df)
     n = base.count()
     if n <= small_rows:
-        return _plain(base, order_col, sum_cols, partition_cols, descending, with_next, prefix)
+        return _plain(base, order_col, sum_cols, partition_cols, descending, nexts, prefix)
 
     nb = int(min(max_buckets, max(2, math.ceil(n / rows_per_bucket))))
     probs = [i / nb for i in range(1, nb)]
@@ -122,9 +124,11 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 
     # (2) per-bucket sums and (3) offsets over the small table.
     bkt_order = F.col(_BKT).desc() if descending else F.col(_BKT).asc()
+    first_row = F.struct(*[F.col(c).alias(c) for c in nexts]) if nexts else F.lit(None)
+    pick = F.max_by if descending else F.min_by
     per_bucket = bucketed.groupBy(*partition_cols, _BKT).agg(
         *[F.sum(c).alias(f"_pfx_b_{c}") for c in sum_cols],
-        (F.max(order_col) if descending else F.min(order_col)).alias("_pfx_first"),
+        pick(first_row, F.col(order_col)).alias("_pfx_first"),
     )
     wb = Window.partitionBy(*partition_cols).orderBy(bkt_order)
     wprev = wb.rowsBetween(Window.unboundedPreceding, -1)
@@ -143,9 +147,11 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out_cols = [F.col(c) for c in df.columns]
     out_cols += [(F.sum(c).over(wrun) + F.col(f"_pfx_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols]
-    if with_next:
-        out_cols.append(F.coalesce(F.lead(order_col).over(w), F.col("_pfx_next_first"))
-                        .alias(f"next_{order_col}"))
+    for c in nexts:
+        # within the bucket, lead; on its last row, the first row of the next bucket
+        last = F.lead(F.lit(1)).over(w).isNull()
+        out_cols.append(F.when(last, F.col("_pfx_next_first")[c]).otherwise(F.lead(c).over(w))
+                        .alias(f"next_{c}"))
     return joined.select(*out_cols)
 
 
@@ -157,13 +163,12 @@ def _bucketize(df: DataFrame, order_col: str, splits: list[float]) -> DataFrame:
 
 
 def _plain(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: list[str],
-           descending: bool, with_next: bool, prefix: str) -> DataFrame:
+           descending: bool, nexts: list[str], prefix: str) -> DataFrame:
     w = Window.partitionBy(*partition_cols).orderBy(_order(order_col, descending))
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [F.col(c) for c in df.columns]
     cols += [F.sum(c).over(wrun).alias(f"{prefix}{c}") for c in sum_cols]
-    if with_next:
-        cols.append(F.lead(order_col).over(w).alias(f"next_{order_col}"))
+    cols += [F.lead(c).over(w).alias(f"next_{c}") for c in nexts]
     return df.select(*cols)
 
 

@@ -84,3 +84,10 @@ def test_expectations(spark):
     assert [r["threshold"] for r in Q.expect_monotone(grid, "threshold", "recall").collect()] == [0.2]
     assert [r["threshold"] for r in Q.expect_grid(grid, "threshold", [0.1, 0.2, 0.3, 0.4]).collect()] == [0.4]
     assert Q.expect_range(grid, ["recall"], 0.0, 0.9).count() == 1
+
+
+def test_expect_monotone_bucketed(spark):
+    grid = spark.createDataFrame([(i / 100, 1.0 - i / 100 + (0.5 if i == 40 else 0.0)) for i in range(100)],
+                                 "threshold double, recall double")
+    for kw in ({}, BUCKETED):
+        assert [r["threshold"] for r in Q.expect_monotone(grid, "threshold", "recall", **kw).collect()] == [0.4]

@@ -82,3 +82,11 @@ def test_exact_median_of_four_is_interpolated(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
     got = exact_quantiles(df, ["x"], [0.5]).first()["quantile"]
     assert got == 2.5
+
+
+def test_next_cols_cross_buckets(spark):
+    rows = [(float(i), i * 10) for i in range(50)]
+    df = spark.createDataFrame(rows, "v double, x long")
+    for kw in ({}, BUCKETED):
+        got = {r["v"]: r["next_x"] for r in running_totals(df, "v", [], descending=True, next_cols=["x"], **kw).collect()}
+        assert got[0.0] is None and all(got[float(i)] == (i - 1) * 10 for i in range(1, 50))
