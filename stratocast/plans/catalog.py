@@ -119,8 +119,8 @@ SELECT n_yes, n_no, n_missing, n_rows,
        round(CAST(n_missing AS DOUBLE) / n_rows * 100, 2) AS pct_missing,
        round(CAST(n_yes AS DOUBLE) / (n_yes + n_no) * 100, 2) AS base_rate_pct,
        round(CAST(n_no AS DOUBLE) / (n_yes + n_no) * 100, 2) AS always_no_pct
-FROM (SELECT count_if(target_flag = 'Yes') AS n_yes, count_if(target_flag = 'No') AS n_no,
-             count_if(target_flag IS NULL) AS n_missing, count(*) AS n_rows FROM obs)""")
+FROM (SELECT CAST(count_if(target_flag = 'Yes') AS BIGINT) AS n_yes, CAST(count_if(target_flag = 'No') AS BIGINT) AS n_no,
+             CAST(count_if(target_flag IS NULL) AS BIGINT) AS n_missing, count(*) AS n_rows FROM obs)""")
 def q_target_balance(spark, sf_dir):
     return A.target_balance(S.observations(spark, sf_dir), "target_flag")
 
@@ -132,12 +132,12 @@ SELECT round(CAST(eq AS DOUBLE) / n_rows * 100, 2) AS accuracy_pct, n_rows,
        round(CAST(tn_yy AS DOUBLE) / tn * 100, 2) AS p_yes_given_today_no_pct,
        round(CAST(ty_yy AS DOUBLE) / ty * 100, 2) AS precision_pct,
        round(CAST(ty_yy AS DOUBLE) / yy * 100, 2) AS recall_pct
-FROM (SELECT count(*) AS n_rows, count_if(today_flag = target_flag) AS eq,
-             count_if(today_flag = 'Yes') AS ty,
-             count_if(today_flag = 'Yes' AND target_flag = 'Yes') AS ty_yy,
-             count_if(today_flag = 'No') AS tn,
-             count_if(today_flag = 'No' AND target_flag = 'Yes') AS tn_yy,
-             count_if(target_flag = 'Yes') AS yy
+FROM (SELECT count(*) AS n_rows, CAST(count_if(today_flag = target_flag) AS BIGINT) AS eq,
+             CAST(count_if(today_flag = 'Yes') AS BIGINT) AS ty,
+             CAST(count_if(today_flag = 'Yes' AND target_flag = 'Yes') AS BIGINT) AS ty_yy,
+             CAST(count_if(today_flag = 'No') AS BIGINT) AS tn,
+             CAST(count_if(today_flag = 'No' AND target_flag = 'Yes') AS BIGINT) AS tn_yy,
+             CAST(count_if(target_flag = 'Yes') AS BIGINT) AS yy
       FROM obs WHERE today_flag IS NOT NULL AND target_flag IS NOT NULL)""")
 def q_persistence_baseline(spark, sf_dir):
     return A.persistence_baseline(S.observations(spark, sf_dir), "today_flag", "target_flag")
@@ -205,7 +205,7 @@ def q_rate_extremes(spark, sf_dir):
 
 # --- A13 --------------------------------------------------------------------
 _MONTH_RATE_SQL = """,
-m AS (SELECT month(l_shipdate) AS month, round(avg(y) * 100, 2) AS rate_pct, count(*) AS n
+m AS (SELECT CAST(month(l_shipdate) AS INTEGER) AS month, round(avg(y) * 100, 2) AS rate_pct, count(*) AS n
       FROM (SELECT l_shipdate, CASE target_flag WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS y FROM obs)
       WHERE y IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1)
 """
@@ -285,7 +285,7 @@ def q_map_label(spark, sf_dir):
     return P.map_label(li, "l_returnflag", yes="R", no="N").select("l_orderkey", "l_linenumber", "label")
 
 
-@query("add_month", "SELECT o_orderkey, month(o_orderdate) AS month FROM orders")
+@query("add_month", "SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders")
 def q_add_month(spark, sf_dir):
     return P.add_month(table(spark, sf_dir, "orders"), "o_orderdate", out="month").select("o_orderkey", "month")
 

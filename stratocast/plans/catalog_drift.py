@@ -34,8 +34,8 @@ def _cat_long_sql():
 
 _WASS_CTE = OBS.rstrip() + f""",
 lng AS ({_num_long_sql()}),
-cnt AS (SELECT "column", value, count_if(is_ref) AS n_ref, count_if(NOT is_ref) AS n_cur FROM lng GROUP BY ALL),
-tot AS (SELECT "column", count_if(is_ref) AS t_ref, count_if(NOT is_ref) AS t_cur,
+cnt AS (SELECT "column", value, CAST(count_if(is_ref) AS BIGINT) AS n_ref, CAST(count_if(NOT is_ref) AS BIGINT) AS n_cur FROM lng GROUP BY ALL),
+tot AS (SELECT "column", CAST(count_if(is_ref) AS BIGINT) AS t_ref, CAST(count_if(NOT is_ref) AS BIGINT) AS t_cur,
                stddev_pop(CASE WHEN is_ref THEN value END) AS sd FROM lng GROUP BY ALL),
 cum AS (SELECT "column", value,
           sum(n_ref) OVER (PARTITION BY "column" ORDER BY value ROWS UNBOUNDED PRECEDING) AS cr,
@@ -50,7 +50,7 @@ wass AS (SELECT t."column", t.t_ref AS n_ref, t.t_cur AS n_cur,
 
 _JS_CTE = f""",
 cat AS ({_cat_long_sql()}),
-cc AS (SELECT "column", value, count_if(is_ref) AS c_ref, count_if(NOT is_ref) AS c_cur FROM cat GROUP BY ALL),
+cc AS (SELECT "column", value, CAST(count_if(is_ref) AS BIGINT) AS c_ref, CAST(count_if(NOT is_ref) AS BIGINT) AS c_cur FROM cat GROUP BY ALL),
 ct AS (SELECT "column", sum(c_ref) AS n_ref, sum(c_cur) AS n_cur FROM cc GROUP BY ALL),
 pq AS (SELECT "column", n_ref, n_cur, CAST(c_ref AS DOUBLE) / n_ref AS p, CAST(c_cur AS DOUBLE) / n_cur AS q
        FROM cc JOIN ct USING ("column")),
@@ -89,9 +89,9 @@ def q_column_drift(spark, sf_dir):
 
 
 _DS_SQL = """,
-ds AS (SELECT count(*) AS n_columns, count_if(status = 'ok') AS n_measured,
-              count_if(status = 'ok' AND drifted) AS n_drifted,
-              CAST(count_if(status = 'ok' AND drifted) AS DOUBLE) / count_if(status = 'ok') AS share FROM verdict)
+ds AS (SELECT count(*) AS n_columns, CAST(count_if(status = 'ok') AS BIGINT) AS n_measured,
+              CAST(count_if(status = 'ok' AND drifted) AS BIGINT) AS n_drifted,
+              CAST(count_if(status = 'ok' AND drifted) AS DOUBLE) / CAST(count_if(status = 'ok') AS BIGINT) AS share FROM verdict)
 """
 
 
@@ -103,7 +103,7 @@ def q_dataset_drift(spark, sf_dir):
 
 
 _SUMMARY_SQL = _WASS_CTE.rstrip() + _JS_CTE.rstrip() + _COLS_CTE.rstrip() + _DS_SQL.rstrip() + f""",
-sizes AS (SELECT count_if({RULE}) AS n_reference, count_if(NOT ({RULE})) AS n_current FROM obs),
+sizes AS (SELECT CAST(count_if({RULE}) AS BIGINT) AS n_reference, CAST(count_if(NOT ({RULE})) AS BIGINT) AS n_current FROM obs),
 summary AS (
   SELECT TIMESTAMP '2024-01-31 06:00:00' AS ts,
          CASE WHEN n_current >= 400 THEN 'ok' ELSE 'insufficient' END AS status,

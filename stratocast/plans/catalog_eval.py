@@ -19,8 +19,8 @@ def _scored_price(spark, sf_dir):
     return S.scored(spark, sf_dir).withColumn("score", F.col("l_extendedprice"))
 
 
-_CONF_SQL = """SELECT count_if(label = 1 AND score >= 0.5) AS tp, count_if(label = 0 AND score >= 0.5) AS fp,
-       count_if(label = 0 AND score < 0.5) AS tn, count_if(label = 1 AND score < 0.5) AS fn FROM scored"""
+_CONF_SQL = """SELECT CAST(count_if(label = 1 AND score >= 0.5) AS BIGINT) AS tp, CAST(count_if(label = 0 AND score >= 0.5) AS BIGINT) AS fp,
+       CAST(count_if(label = 0 AND score < 0.5) AS BIGINT) AS tn, CAST(count_if(label = 1 AND score < 0.5) AS BIGINT) AS fn FROM scored"""
 
 
 @query("confusion", SC + _CONF_SQL)
@@ -43,7 +43,7 @@ def q_scores_at(spark, sf_dir):
 
 
 @query("baseline_always_no", SC + """SELECT tp, fp, tn, fn, """ + _METRICS_SQL + """
-FROM (SELECT 0 AS tp, 0 AS fp, count_if(label = 0) AS tn, count_if(label = 1) AS fn FROM scored)""")
+FROM (SELECT CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(count_if(label = 0) AS BIGINT) AS tn, CAST(count_if(label = 1) AS BIGINT) AS fn FROM scored)""")
 def q_baseline_always_no(spark, sf_dir):
     return r6(V.baseline_always_no(_scored(spark, sf_dir), "label"), _MET)
 
@@ -71,7 +71,7 @@ def q_classification_report(spark, sf_dir):
 
 def _score_cte(score_expr: str) -> str:
     return SC.rstrip() + f""",
-s AS (SELECT {score_expr} AS score, count_if(label = 1) AS pos, count_if(label = 0) AS neg
+s AS (SELECT {score_expr} AS score, CAST(count_if(label = 1) AS BIGINT) AS pos, CAST(count_if(label = 0) AS BIGINT) AS neg
       FROM scored GROUP BY 1),
 c AS (SELECT score, pos, neg,
         CAST(sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cum_neg,
@@ -133,10 +133,10 @@ def q_recommend_thresholds(spark, sf_dir):
 
 _GRID_SQL = SC.rstrip() + """,
 g AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(5, 96) t(i)),
-k AS (SELECT threshold, count_if(label = 1 AND score >= threshold) AS tp,
-             count_if(label = 0 AND score >= threshold) AS fp,
-             count_if(label = 0 AND score < threshold) AS tn,
-             count_if(label = 1 AND score < threshold) AS fn
+k AS (SELECT threshold, CAST(count_if(label = 1 AND score >= threshold) AS BIGINT) AS tp,
+             CAST(count_if(label = 0 AND score >= threshold) AS BIGINT) AS fp,
+             CAST(count_if(label = 0 AND score < threshold) AS BIGINT) AS tn,
+             CAST(count_if(label = 1 AND score < threshold) AS BIGINT) AS fn
       FROM g, scored GROUP BY threshold),
 grid AS (SELECT threshold, tp, fp, tn, fn,""" + _METRICS_SQL.replace(", 6)", ", 4)") + """ FROM k)
 """
@@ -179,11 +179,11 @@ SELECT CAST(0.5 AS DOUBLE) AS threshold_a, CAST(0.32 AS DOUBLE) AS threshold_b,
     AS delta_f1,
   fn_a - fn_b AS recovered_events, fp_b - fp_a AS added_false_alarms, flipped_rows
 FROM (SELECT count(*) AS n,
-  count_if(label = 1 AND score >= 0.5) AS tp_a, count_if(label = 0 AND score >= 0.5) AS fp_a,
-  count_if(label = 0 AND score < 0.5) AS tn_a, count_if(label = 1 AND score < 0.5) AS fn_a,
-  count_if(label = 1 AND score >= 0.32) AS tp_b, count_if(label = 0 AND score >= 0.32) AS fp_b,
-  count_if(label = 0 AND score < 0.32) AS tn_b, count_if(label = 1 AND score < 0.32) AS fn_b,
-  count_if(score >= 0.32 AND score < 0.5) AS flipped_rows FROM scored)""")
+  CAST(count_if(label = 1 AND score >= 0.5) AS BIGINT) AS tp_a, CAST(count_if(label = 0 AND score >= 0.5) AS BIGINT) AS fp_a,
+  CAST(count_if(label = 0 AND score < 0.5) AS BIGINT) AS tn_a, CAST(count_if(label = 1 AND score < 0.5) AS BIGINT) AS fn_a,
+  CAST(count_if(label = 1 AND score >= 0.32) AS BIGINT) AS tp_b, CAST(count_if(label = 0 AND score >= 0.32) AS BIGINT) AS fp_b,
+  CAST(count_if(label = 0 AND score < 0.32) AS BIGINT) AS tn_b, CAST(count_if(label = 1 AND score < 0.32) AS BIGINT) AS fn_b,
+  CAST(count_if(score >= 0.32 AND score < 0.5) AS BIGINT) AS flipped_rows FROM scored)""")
 def q_compare_thresholds(spark, sf_dir):
     out = V.compare_thresholds(_scored(spark, sf_dir), a=0.5, b=0.32)
     return r6(out, ["delta_accuracy", "delta_precision", "delta_recall", "delta_f1"])

@@ -30,14 +30,14 @@ def _plog(spark, sf_dir):
 
 # O1 -------------------------------------------------------------------------
 @query("outcome_share", PL + """
-SELECT count(*) AS n, count_if(label) AS n_positive,
+SELECT count(*) AS n, CAST(count_if(label) AS BIGINT) AS n_positive,
        round(CAST(count_if(label) AS DOUBLE) / greatest(count(*), 1), 6) AS share FROM plog""")
 def q_outcome_share(spark, sf_dir):
     return r6(O.outcome_share(_plog(spark, sf_dir)), ["share"])
 
 
 @query("outcome_share_by_type", PL + """
-SELECT event_type, count(*) AS n, count_if(label) AS n_positive,
+SELECT event_type, count(*) AS n, CAST(count_if(label) AS BIGINT) AS n_positive,
        round(CAST(count_if(label) AS DOUBLE) / greatest(count(*), 1), 6) AS share FROM plog GROUP BY event_type""")
 def q_outcome_share_by_type(spark, sf_dir):
     return r6(O.outcome_share(_plog(spark, sf_dir), group_cols=["event_type"]), ["share"])
@@ -100,7 +100,7 @@ def q_sliding_rate(spark, sf_dir):
 
 
 _ERR_SQL = _WIN_SQL.rstrip() + """,
-err AS (SELECT window_start, window_end, count(*) AS n, count_if(event_type = 'error') AS n_error,
+err AS (SELECT window_start, window_end, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS n_error,
                CAST(count_if(event_type = 'error') AS DOUBLE) / greatest(count(*), 1) AS share
         FROM win GROUP BY ALL)
 """
@@ -266,7 +266,7 @@ def q_parse_log_lines(spark, sf_dir):
 g AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(5, 96) t(i))
 SELECT threshold FROM g
 EXCEPT
-SELECT threshold FROM (SELECT threshold, count_if(score >= threshold) AS n FROM g, scored GROUP BY threshold)""")
+SELECT threshold FROM (SELECT threshold, CAST(count_if(score >= threshold) AS BIGINT) AS n FROM g, scored GROUP BY threshold)""")
 def q_expect_grid(spark, sf_dir):
     from ..operators import evaluate as V
     grid = V.threshold_grid(S.scored(spark, sf_dir))
@@ -275,7 +275,7 @@ def q_expect_grid(spark, sf_dir):
 
 @query("expect_monotone", S.with_ctes(S.SCORED_SQL).rstrip() + """,
 g AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(5, 96) t(i)),
-k AS (SELECT threshold, CAST(count_if(label = 1 AND score >= threshold) AS DOUBLE) / count_if(label = 1) AS recall
+k AS (SELECT threshold, CAST(count_if(label = 1 AND score >= threshold) AS DOUBLE) / CAST(count_if(label = 1) AS BIGINT) AS recall
       FROM g, scored GROUP BY threshold),
 l AS (SELECT threshold, recall, lag(recall) OVER (ORDER BY threshold) AS prev_recall FROM k)
 SELECT threshold, recall, prev_recall FROM l WHERE recall > prev_recall""")

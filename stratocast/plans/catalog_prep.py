@@ -143,8 +143,9 @@ _QUICK = {"logreg": {"maxIter": 100}, "logreg_balanced": {"maxIter": 100},
 
 
 def _split(spark, sf_dir):
+    from ..operators.prefix import keep
     lab = _labelled(spark, sf_dir)
-    sp = D.stratified_split(lab, "label", 0.2, seed=42, key_cols=LI_KEY)
+    sp = keep(D.stratified_split(lab, "label", 0.2, seed=42, key_cols=LI_KEY))   # read by both sides
     return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
 
 

@@ -40,7 +40,7 @@ def q_stream_sliding_rate(spark, sf_dir):
 
 
 @query("stream_error_share", _WIN_SQL + f"""
-SELECT window_start, window_end, count(*) AS n, count_if(event_type = 'error') AS n_error,
+SELECT window_start, window_end, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS n_error,
        round(CAST(count_if(event_type = 'error') AS DOUBLE) / greatest(count(*), 1), 6) AS share
 FROM win WHERE {_CLOSED} GROUP BY ALL""")
 def q_stream_error_share(spark, sf_dir):
@@ -51,7 +51,7 @@ def q_stream_error_share(spark, sf_dir):
 
 @query("stream_outcome_share", S.with_ctes(S.PREDICTION_LOG_SQL).rstrip() + """,
 w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, label FROM plog)
-SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS n, count_if(label) AS n_positive,
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS n, CAST(count_if(label) AS BIGINT) AS n_positive,
        round(CAST(count_if(label) AS DOUBLE) / greatest(count(*), 1), 6) AS share
 FROM w WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM plog) - INTERVAL 10 MINUTE
 GROUP BY window_start""")
