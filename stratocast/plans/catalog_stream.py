@@ -18,7 +18,7 @@ from ..streaming.scoring import score_records
 from . import models as M
 from . import standins as S
 from .catalog import query, r6
-from .catalog_monitor import _WIN_SQL
+from .catalog_monitor import _WIN_SQL, _quantile_sql
 from .catalog_prep import CAT, LI_KEY, NUM, _split
 
 
@@ -61,6 +61,26 @@ def q_stream_outcome_share(spark, sf_dir):
     return utc_to_ntz(r6(out, ["share"]))
 
 
+@query("stream_latency_quantiles", S.with_ctes(S.PREDICTION_LOG_SQL).rstrip() + """,
+b AS (SELECT * FROM (VALUES (0, CAST(0.05 AS DOUBLE)), (1, CAST(0.1 AS DOUBLE)), (2, CAST(0.25 AS DOUBLE)),
+        (3, CAST(0.5 AS DOUBLE)), (4, CAST(0.75 AS DOUBLE)), (5, CAST(1.0 AS DOUBLE)), (6, CAST(2.5 AS DOUBLE)),
+        (7, CAST(NULL AS DOUBLE))) t(bucket, le)),
+w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
+             AS window_end, value / 100.0 AS latency FROM plog),
+hist AS (SELECT window_start, window_end, bucket, le,
+                CAST(count_if(le IS NULL OR latency <= le) AS BIGINT) AS cum_count
+         FROM b, w WHERE window_end <= (SELECT max(ts) FROM plog) - INTERVAL 10 MINUTE GROUP BY ALL)
+SELECT a.window_start, a.window_end, round(a.p50, 6) AS p50, round(c.p95, 6) AS p95, round(d.p99, 6) AS p99
+FROM """ + _quantile_sql("hist", 0.5, "p50", "window_start, window_end") + " a JOIN "
+       + _quantile_sql("hist", 0.95, "p95", "window_start, window_end") + " c USING (window_start, window_end) JOIN "
+       + _quantile_sql("hist", 0.99, "p99", "window_start, window_end") + " d USING (window_start, window_end)")
+def q_stream_latency_quantiles(spark, sf_dir):
+    log = S.as_prediction_log(S.events_stream(spark, sf_dir)).withColumn("latency", F.col("value") / 100.0)
+    hist = _drain(MS.latency_histogram_stream(log, "latency", "1 hour", None, (0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5)),
+                  "latency_hist")
+    return utc_to_ntz(r6(MS.quantiles_of_histograms(hist), ["p50", "p95", "p99"]))
+
+
 @query("stream_sustained_sessions", S.with_ctes(S.PREDICTION_LOG_SQL).rstrip() + """,
 s AS (SELECT event_type, ts FROM plog WHERE value > 20),
 g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 900000000

@@ -61,3 +61,25 @@ def sustained_sessions_stream(samples: DataFrame, predicate: Column, hold_second
     dur = (F.unix_micros(F.col("end")) - F.unix_micros(F.col("start"))) / 1e6
     return (g.select(*series_cols, "start", "end", "n_samples", dur.alias("duration_s"))
              .where(F.col("duration_s") >= F.lit(float(hold_seconds))))
+
+
+def latency_histogram_stream(stream: DataFrame, value: str, width: str = "5 minutes",
+                             slide: str | None = "1 minute", bounds: Sequence[float] = O.LATENCY_BOUNDS,
+                             ts: str = "ts", delay: str = DEFAULT_WATERMARK) -> DataFrame:
+    """Per-window cumulative bucket counts of ``value`` (O6, streaming half).
+
+    Quantiles need an ordered look at the buckets of a closed window, which a
+    streaming plan cannot do; the stream emits each window's histogram once
+    the watermark passes its end, and :func:`quantiles_of_histograms` turns
+    the emitted rows (a batch, or a micro-batch in ``foreachBatch``) into
+    p50 / p95 / p99.
+    """
+    s = with_event_time(stream, ts, delay, None)
+    win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
+    src = s.select(win.alias("w"), F.col(value))
+    return O.histogram(src, value, bounds, ["w"]).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "bucket", "le", "cum_count")
+
+
+def quantiles_of_histograms(hist: DataFrame, qs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    return O.histogram_quantiles(hist, qs, ["window_start", "window_end"])
