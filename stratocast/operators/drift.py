@@ -69,7 +69,7 @@ def wasserstein_from_long(long: DataFrame, group_cols: Sequence[str] = (), std_f
     area = (cum.join(broadcast_if_small(t), keys, "inner")
                .where(F.col("next_value").isNotNull())
                .groupBy(*keys).agg(F.sum(gap * (F.col("next_value") - F.col("value"))).alias("area")))
-    out = totals.join(area, keys, "left")
+    out = totals.join(broadcast_if_small(area), keys, "left")
     measured = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
     dist = F.when(measured, F.coalesce(F.col("area"), F.lit(0.0))
                   / F.greatest(F.coalesce(F.col("ref_std"), F.lit(0.0)), F.lit(float(std_floor))))
@@ -126,7 +126,7 @@ def column_drift_from_long(num_long: DataFrame | None, cat_long: DataFrame | Non
     for p in parts[1:]:
         res = res.unionByName(p)
     keys = [*group_cols, "column"]
-    out = tracked.join(res.drop("method"), keys, "left")
+    out = tracked.join(broadcast_if_small(res.drop("method")), keys, "left")
     status = F.when(F.coalesce(F.col("n_cur"), F.lit(0)) == 0, F.lit("no_data")) \
               .when(F.coalesce(F.col("n_ref"), F.lit(0)) == 0, F.lit("no_reference")).otherwise(F.lit("ok"))
     return out.select(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from .prefix import running_totals
+from .prefix import broadcast_if_small, running_totals
 
 # Bucket bounds of the probability histogram.
 PROBA_BOUNDS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -214,4 +214,4 @@ def inhibit_alerts(alerts: DataFrame, source: str, target_severities: Sequence[s
     cond = [tgt[c] == src[c] for c in equal] + [tgt["_bkt"] == src["_bkt"],
                                                 tgt["start"] <= src["_s_end"], src["_s_start"] <= tgt["end"]]
     hit = tgt.join(src, cond, "inner").select(tgt["alert_id"]).distinct()
-    return alerts.join(hit, "alert_id", "left_anti")
+    return alerts.join(broadcast_if_small(hit), "alert_id", "left_anti")
