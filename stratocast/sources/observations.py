@@ -31,6 +31,9 @@ OBSERVATION_SCHEMA = T.StructType([
     T.StructField("RainToday", T.StringType()),
     T.StructField("RainTomorrow", T.StringType()),
 ])
+# The declared categorical features (in this order), the
+# target, the columns dropped before training, and the nine columns tracked
+# for drift.
 CATEGORICAL_FEATURES = ["Location", "WindGustDir", "WindDir9am", "WindDir3pm", "RainToday", "Month"]
 TARGET = "RainTomorrow"
 DROP_COLS = ["Date", TARGET]
