@@ -98,11 +98,16 @@ def log_records(scored: DataFrame, feature_cols: Sequence[str], ts: str | Column
 
 
 def write_prediction_log(records: DataFrame, path: str, partition_by_day: bool = False) -> None:
-    """Append log rows as JSON lines (batch). A failure fails the job: no silent loss."""
-    w = records.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """Append log rows as JSON lines (batch). A failure fails the job: no silent loss.
+
+    ``partition_by_day`` adds a ``day`` folder level, so a drift job over a
+    date range reads only those folders (partition pruning).
+    """
     if partition_by_day:
         records = records.withColumn("day", F.to_date("ts"))
-        w = records.write.mode("append").partitionBy("day").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    w = records.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    if partition_by_day:
+        w = w.partitionBy("day")
     w.json(path)
 
 
