@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null, ratio
-from .prefix import attach_one_row, broadcast_if_small, running_totals
+from .prefix import attach_one_row, broadcast_if_small, keep, running_totals
 
 NUMERIC_METHOD = "wasserstein_distance_norm"
 CATEGORICAL_METHOD = "jensenshannon"
@@ -146,7 +146,8 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
 
     A column without current values is ``no_data`` and never flagged.
     """
-    both = _sides(ref, cur, [*numeric, *categorical])
+    # the tracked columns of both tables, read once for both long forms
+    both = keep(_sides(ref, cur, [*numeric, *categorical]))
     nl = numeric_long(both, numeric) if numeric else None
     cl = categorical_long(both, categorical) if categorical else None
     return column_drift_from_long(nl, cl, _tracked(ref.sparkSession, numeric, categorical),
