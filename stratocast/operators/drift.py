@@ -55,8 +55,13 @@ def categorical_long(both: DataFrame, cols: Sequence[str], keep: Sequence[str] =
 
 # R1 -------------------------------------------------------------------------
 def wasserstein_from_long(long: DataFrame, group_cols: Sequence[str] = (), std_floor: float = 0.001,
-                          **prefix_kw) -> DataFrame:
-    """(group..., column, n_ref, n_cur, distance) from a numeric long form."""
+                          n_keys: int | None = None, **prefix_kw) -> DataFrame:
+    """(group..., column, n_ref, n_cur, distance) from a numeric long form.
+
+    ``n_keys`` bounds the number of (group, column) pairs when the caller
+    knows it (tracked columns x groups); per-pair tables are then broadcast
+    without a counting job.
+    """
     keys = [*group_cols, "column"]
     ref = F.col("is_ref")
     counts = long.groupBy(*keys, "value").agg(F.count_if(ref).alias("n_ref"), F.count_if(~ref).alias("n_cur"))
@@ -66,10 +71,10 @@ def wasserstein_from_long(long: DataFrame, group_cols: Sequence[str] = (), std_f
     cum = running_totals(counts, "value", ["n_ref", "n_cur"], partition_cols=keys, with_next=True, **prefix_kw)
     t = totals.withColumnRenamed("n_ref", "t_ref").withColumnRenamed("n_cur", "t_cur")
     gap = F.abs(ratio(F.col("cum_n_ref"), F.col("t_ref")) - ratio(F.col("cum_n_cur"), F.col("t_cur")))
-    area = (cum.join(broadcast_if_small(t), keys, "inner")
+    area = (cum.join(broadcast_if_small(t, known_rows=n_keys), keys, "inner")
                .where(F.col("next_value").isNotNull())
                .groupBy(*keys).agg(F.sum(gap * (F.col("next_value") - F.col("value"))).alias("area")))
-    out = totals.join(broadcast_if_small(area), keys, "left")
+    out = totals.join(broadcast_if_small(area, known_rows=n_keys), keys, "left")
     measured = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
     dist = F.when(measured, F.coalesce(F.col("area"), F.lit(0.0))
                   / F.greatest(F.coalesce(F.col("ref_std"), F.lit(0.0)), F.lit(float(std_floor))))
@@ -78,17 +83,18 @@ def wasserstein_from_long(long: DataFrame, group_cols: Sequence[str] = (), std_f
 
 def wasserstein_norm(ref: DataFrame, cur: DataFrame, cols: Sequence[str], **kw) -> DataFrame:
     """Normalised Wasserstein distance per numeric column (nulls removed per column)."""
-    return wasserstein_from_long(numeric_long(_sides(ref, cur, cols), cols), **kw)
+    return wasserstein_from_long(numeric_long(_sides(ref, cur, cols), cols), n_keys=len(cols), **kw)
 
 
 # R2 -------------------------------------------------------------------------
-def js_from_long(long: DataFrame, group_cols: Sequence[str] = (), base: float | None = None) -> DataFrame:
+def js_from_long(long: DataFrame, group_cols: Sequence[str] = (), base: float | None = None,
+                 n_keys: int | None = None) -> DataFrame:
     """(group..., column, n_ref, n_cur, distance) from a categorical long form."""
     keys = [*group_cols, "column"]
     ref = F.col("is_ref")
     counts = long.groupBy(*keys, "value").agg(F.count_if(ref).alias("c_ref"), F.count_if(~ref).alias("c_cur"))
     totals = counts.groupBy(*keys).agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    j = counts.join(broadcast_if_small(totals), keys, "inner")
+    j = counts.join(broadcast_if_small(totals, known_rows=n_keys), keys, "inner")
     p = ratio(F.col("c_ref"), F.col("n_ref"))
     q = ratio(F.col("c_cur"), F.col("n_cur"))
     m = (p + q) / 2
@@ -108,7 +114,7 @@ def js_from_long(long: DataFrame, group_cols: Sequence[str] = (), base: float |
 
 def js_distance(ref: DataFrame, cur: DataFrame, cols: Sequence[str], **kw) -> DataFrame:
     """Jensen-Shannon distance of category shares per categorical column."""
-    return js_from_long(categorical_long(_sides(ref, cur, cols), cols), **kw)
+    return js_from_long(categorical_long(_sides(ref, cur, cols), cols), n_keys=len(cols), **kw)
 
 
 # R3 -------------------------------------------------------------------------
@@ -116,17 +122,19 @@ def column_drift_from_long(num_long: DataFrame | None, cat_long: DataFrame | Non
                            tracked: DataFrame, group_cols: Sequence[str] = (),
                            threshold: float = 0.1, **kw) -> DataFrame:
     parts = []
+    n_keys = kw.pop("n_keys", None)
     if num_long is not None:
-        parts.append(wasserstein_from_long(num_long, group_cols, **{k: v for k, v in kw.items() if k != "base"})
+        parts.append(wasserstein_from_long(num_long, group_cols, n_keys=n_keys,
+                                           **{k: v for k, v in kw.items() if k != "base"})
                      .withColumn("method", F.lit(NUMERIC_METHOD)))
     if cat_long is not None:
-        parts.append(js_from_long(cat_long, group_cols, base=kw.get("base"))
+        parts.append(js_from_long(cat_long, group_cols, base=kw.get("base"), n_keys=n_keys)
                      .withColumn("method", F.lit(CATEGORICAL_METHOD)))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
     keys = [*group_cols, "column"]
-    out = tracked.join(broadcast_if_small(res.drop("method")), keys, "left")
+    out = tracked.join(broadcast_if_small(res.drop("method"), known_rows=n_keys), keys, "left")
     status = F.when(F.coalesce(F.col("n_cur"), F.lit(0)) == 0, F.lit("no_data")) \
               .when(F.coalesce(F.col("n_ref"), F.lit(0)) == 0, F.lit("no_reference")).otherwise(F.lit("ok"))
     return out.select(
@@ -151,7 +159,7 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     nl = numeric_long(both, numeric) if numeric else None
     cl = categorical_long(both, categorical) if categorical else None
     return column_drift_from_long(nl, cl, _tracked(ref.sparkSession, numeric, categorical),
-                                  threshold=threshold, **kw)
+                                  threshold=threshold, n_keys=len(numeric) + len(categorical), **kw)
 
 
 # R4 -------------------------------------------------------------------------
@@ -250,7 +258,7 @@ def calibrate(reference: DataFrame, normal: DataFrame, shifted: DataFrame, key:
         [(k, s, d, c, m) for k, s, d in groups
          for c, m in [(c, NUMERIC_METHOD) for c in numeric] + [(c, CATEGORICAL_METHOD) for c in categorical]],
         "kind string, size int, draw int, column string, method string")
-    cd = column_drift_from_long(nl, cl, tracked, gcols, column_threshold, **kw)
+    cd = column_drift_from_long(nl, cl, tracked, gcols, column_threshold, n_keys=len(groups) * len(cols), **kw)
     ds = dataset_drift(cd, gcols)
     n_cur = cur.groupBy(*gcols).agg(F.count(F.lit(1)).alias("n_current"))
     return ds.join(n_cur, gcols, "left").select(*gcols, "share", "n_drifted", "n_measured",

@@ -68,9 +68,15 @@ def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.select("*", *cols)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count (checked, after persisting it)
-    is at most ``max_rows``; otherwise leave the join strategy to AQE."""
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its row count is at most ``max_rows``;
+    otherwise leave the join strategy to AQE.
+
+    ``known_rows`` is an upper bound the caller knows from its parameters
+    (one row per tracked column, say); then no counting job is needed.
+    """
+    if known_rows is not None and known_rows <= max_rows:
+        return F.broadcast(df)
     kept = keep(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
