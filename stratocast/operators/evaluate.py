@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ratio, ratio_or_zero, rnd
 from .prefix import attach_one_row as _one_row_join
-from .prefix import running_totals, row_index
+from .prefix import running_totals
 
 
 # V1 -------------------------------------------------------------------------
@@ -98,15 +98,17 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", **pre
                 .groupBy(F.col(score).cast("double").alias("score"))
                 .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
                 .withColumn("one", F.lit(1).cast("long")))
-    cum = running_totals(counts, "score", ["pos", "neg", "one"], **prefix_kw)
-    totals = counts.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-                        F.sum("one").alias("n_scores"))
-    t = _one_row_join(cum, totals)
+    tot: dict = {}
+    cum = running_totals(counts, "score", ["pos", "neg", "one"], totals=tot, **prefix_kw)
+    # grand totals come from the size check of the running sums (no extra job)
+    t = cum.select("*", F.lit(tot.get("pos") or 0).cast("long").alias("n_pos"),
+                   F.lit(tot.get("neg") or 0).cast("long").alias("n_neg"),
+                   F.lit(tot.get("one") or 0).cast("long").alias("n_scores"))
     return t.select(
         "score", "pos", "neg",
         (F.col("n_pos") - F.col("cum_pos") + F.col("pos")).alias("tp"),
         (F.col("n_neg") - F.col("cum_neg") + F.col("neg")).alias("fp"),
-        "cum_neg", "n_pos", "n_neg",
+        "cum_neg", "n_pos", "n_neg", "n_scores",
         (F.col("n_scores") - F.col("cum_one") + 1).alias("rank_desc"),
     )
 
@@ -141,16 +143,13 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", table: D
     """(point, threshold, precision, recall) at each distinct score ascending, then the (1, 0) end."""
     t = table if table is not None else score_table(df, label, score, **prefix_kw)
     pts = t.select(
-        F.col("rank_desc"), F.col("score").alias("threshold"),
+        (F.col("n_scores") - F.col("rank_desc")).alias("point"), F.col("score").alias("threshold"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("n_pos")).alias("recall"),
     )
-    n = t.agg(F.max("rank_desc").alias("_m"))
-    pts = _one_row_join(pts, n).select(
-        (F.col("_m") - F.col("rank_desc")).alias("point"), "threshold", "precision", "recall")
-    end = n.select(F.coalesce(F.col("_m"), F.lit(0)).cast("long").alias("point"),
-                   F.lit(None).cast("double").alias("threshold"),
-                   F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    end = t.limit(1).select(F.col("n_scores").cast("long").alias("point"),
+                            F.lit(None).cast("double").alias("threshold"),
+                            F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
 
 
@@ -262,8 +261,11 @@ def thin_curve(curve: DataFrame, order_col: str = "point", n: int = 200,
     The row count is one scalar; the kept indices (at most n) are a small
     broadcast table for a semi join.
     """
-    ranked = row_index(curve, order_col, name="_idx", **prefix_kw)
-    m = curve.count()
+    tot: dict = {}
+    one = curve.withColumn("_thin_one", F.lit(1).cast("long"))
+    ranked = (running_totals(one, order_col, ["_thin_one"], totals=tot, prefix="_c", **prefix_kw)
+              .withColumn("_idx", F.col("_c_thin_one") - 1).drop("_thin_one", "_c_thin_one"))
+    m = tot["n"]                      # from the size check of the running count
     keep = curve.sparkSession.createDataFrame([(i,) for i in thin_indices(m, n)], "_idx long")
     out = ranked.join(F.broadcast(keep), "_idx", "left_semi").drop("_idx")
     for c in round_cols:

@@ -104,19 +104,26 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
                    with_next: bool = False, prefix: str = "cum_",
                    small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = MAX_BUCKETS, next_cols: Sequence[str] = ()) -> DataFrame:
+                   max_buckets: int = MAX_BUCKETS, next_cols: Sequence[str] = (),
+                   totals: dict | None = None) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` in ``order_col`` order.
 
     Rows must be unique per (``partition_cols``, ``order_col``) and the order
     column must be numeric and not null; use :func:`collapse` first. With
     ``with_next`` a column ``next_{order_col}`` holds the following order value
     within the partition (null for the last one); ``next_cols`` does the same
-    for other columns (a ``lead`` that crosses bucket borders).
+    for other columns (a ``lead`` that crosses bucket borders). A ``totals``
+    dict receives the row count (``"n"``) and the grand total of each sum
+    column, taken in the same job as the size check.
     """
     partition_cols = list(partition_cols)
     nexts = list(dict.fromkeys(([order_col] if with_next else []) + list(next_cols)))
     base = keep(df)
-    n = base.count()
+    row = base.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sum_cols]).first()
+    n = row["_n"]
+    if totals is not None:
+        totals["n"] = n
+        totals.update({c: row[f"_t_{c}"] for c in sum_cols})
     if n <= small_rows:
         return _plain(base, order_col, sum_cols, partition_cols, descending, nexts, prefix)
 
