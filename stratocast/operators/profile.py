@@ -147,12 +147,23 @@ def persistence_baseline(df: DataFrame, today: str, target: str, yes: str = "Yes
 
 
 # A7 -------------------------------------------------------------------------
-def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """min, max, mean, sample std, count per numeric column (NaN counts as missing)."""
+def numeric_describe(df: DataFrame, cols: Sequence[str], exact_mean_scale: int | None = None) -> DataFrame:
+    """min, max, mean, sample std, count per numeric column (NaN counts as missing).
+
+    A double ``avg`` depends on the order in which partitions are summed, so
+    two runs (or two engines) can differ in the last bit. With
+    ``exact_mean_scale`` the values are summed as DECIMAL(38, scale) -- exact
+    and order independent -- and the exact sum is divided by the count; on
+    decimal overflow the double mean is used.
+    """
     aggs = []
     for i, c in enumerate(cols):
         v = nan_to_null(F.col(c).cast("double"))
-        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"av{i}"),
+        mean = F.avg(v)
+        if exact_mean_scale is not None:
+            dsum = F.try_sum(v.cast(f"decimal(38,{int(exact_mean_scale)})"))
+            mean = F.coalesce(F.try_divide(dsum.cast("double"), F.count(v).cast("double")), F.avg(v))
+        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), mean.alias(f"av{i}"),
                  F.stddev_samp(v).alias(f"sd{i}"), F.count(v).alias(f"ct{i}")]
     one = df.agg(*aggs)
     rows = F.array(*[

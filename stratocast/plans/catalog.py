@@ -144,11 +144,13 @@ def q_persistence_baseline(spark, sf_dir):
 
 
 # --- A7 ---------------------------------------------------------------------
-# The oracle mean uses compensated summation: a plain double sum depends on the
-# engine's partitioning, and the l_discount mean sits exactly on a 6th-digit tie.
+# The mean is the exact decimal sum over the count on both sides: a double sum
+# depends on summation order (partitions, threads), and several driver means
+# sit exactly on a 6th-digit tie.
 def _describe_sql():
     parts = [f"SELECT {i} AS position, '{c}' AS \"column\", round(min({c}), 6) AS min, "
-             f"round(max({c}), 6) AS max, round(fsum({c}) / count({c}), 6) AS mean, "
+             f"round(max({c}), 6) AS max, "
+             f"round(CAST(sum(CAST({c} AS DECIMAL(38, 9))) AS DOUBLE) / count({c}), 6) AS mean, "
              f"round(stddev_samp({c}), 6) AS std, count({c}) AS count FROM obs"
              for i, c in enumerate(NUM)]
     return OBS + "\nUNION ALL\n".join(parts)
@@ -156,7 +158,8 @@ def _describe_sql():
 
 @query("numeric_describe", _describe_sql())
 def q_numeric_describe(spark, sf_dir):
-    return r6(A.numeric_describe(S.observations(spark, sf_dir), NUM), ["min", "max", "mean", "std"])
+    out = A.numeric_describe(S.observations(spark, sf_dir), NUM, exact_mean_scale=9)
+    return r6(out, ["min", "max", "mean", "std"])
 
 
 # --- A8 ---------------------------------------------------------------------
