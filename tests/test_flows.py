@@ -52,3 +52,20 @@ def test_explore_train_drift(spark):
     lines = open(next(os.path.join(dp, f) for dp, _, fs in os.walk(os.path.join(d, "drift", "summaries"))
                       for f in fs if f.endswith(".json"))).read().splitlines()
     assert json.loads(lines[0])["status"] == "ok"
+
+
+def test_evaluation_report(spark):
+    d, p = _csv(n=300, seed=8)
+    table = flows.load_training_table(spark, p).withColumn("rid", F.monotonically_increasing_id()).cache()
+    from stratocast.operators import sampling as D
+    from stratocast.operators import rows as P
+    split = D.stratified_split(table, "label", 0.2, 42, ["rid"]).cache()
+    tr, te = split.where("not is_test"), split.where("is_test")
+    numeric, categorical = P.feature_lists(table, flows.CATEGORICAL_FEATURES, drop=[*flows.DROP_COLS, "label", "rid"])
+    res = flows.evaluation_report(tr, te, numeric, categorical, os.path.join(d, "eval"),
+                                  settings=("logreg", "rf", "gbt"))
+    models = {r["model"]: r for r in res["models"].collect()}
+    assert set(models) == {"baseline_always_no", "logreg", "rf", "gbt"} and models["baseline_always_no"]["roc_auc"] is None
+    assert res["grid"].count() == 91 and res["importances"].count() <= 15
+    assert res["roc_logreg"].count() <= 200 and res["auc_gbt"].first()["auc"] > 0.5
+    assert os.path.isdir(os.path.join(d, "eval", "grid"))
