@@ -57,8 +57,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = get_spark("stratocast-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")       # stage / task times, read offline
+    if event_dir:
+        os.makedirs(event_dir, exist_ok=True)
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
+    spark = get_spark("stratocast-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra=extra)
     names = only or HEADLINE + list(TRAINING)
     times = {}
     # warm-up: JVM start, first parquet footer reads

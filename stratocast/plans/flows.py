@@ -26,7 +26,7 @@ from ..operators import evaluate as V
 from ..operators import profile as A
 from ..operators import rows as P
 from ..operators import sampling as D
-from ..operators.prefix import attach_one_row
+from ..operators.prefix import attach_one_row, release_cached
 from ..sources.observations import (CATEGORICAL_FEATURES, DRIFT_TRACKED, DROP_COLS, TARGET, load_reference,
                                     read_observations)
 from ..sources.prediction_log import read_prediction_log
@@ -64,6 +64,7 @@ def explore_report(obs: DataFrame, out_dir: str | None = None, target: str = TAR
     if out_dir:
         for name, df in res.items():
             write_report(df, f"{out_dir}/{name}")
+        release_cached()
     return res
 
 
@@ -94,6 +95,7 @@ def train_and_promote(spark: SparkSession, table: DataFrame, registry: str, sett
     reg = M.register(spark, model, registry, name, met["recall"], alias, gate)
     scored.unpersist()
     split.unpersist()
+    release_cached()
     return {"metrics": met, "thresholds": reco, **reg}
 
 
@@ -120,6 +122,7 @@ def evaluation_report(train: DataFrame, test: DataFrame, numeric: Sequence[str],
     if out_dir:
         for name, df in res.items():
             write_report(df, f"{out_dir}/{name}")
+        release_cached()
     return res
 
 
@@ -139,4 +142,5 @@ def drift_job(spark: SparkSession, reference_path: str, log_path: str, out_dir:
     summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
     summary.write.mode("append").json(f"{out_dir}/summaries")
     R.drift_gauges(summary).write.mode("append").json(f"{out_dir}/gauges")
+    release_cached()
     return summary
