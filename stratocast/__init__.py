@@ -5,3 +5,5 @@ executors, the driver only sees fitted statistics and bounded result rows.
 """
 
 __version__ = "0.1.0"
+
+__all__ = ["functions", "operators", "plans", "sources", "streaming", "session"]
