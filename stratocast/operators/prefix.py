@@ -108,8 +108,9 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    totals: dict | None = None) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` in ``order_col`` order.
 
-    Rows must be unique per (``partition_cols``, ``order_col``) and the order
-    column must be numeric and not null; use :func:`collapse` first. With
+    Rows should be unique per (``partition_cols``, ``order_col``) and the
+    order column numeric; use :func:`collapse` first. Null order values sort
+    first ascending and last descending on both paths. With
     ``with_next`` a column ``next_{order_col}`` holds the following order value
     within the partition (null for the last one); ``next_cols`` does the same
     for other columns (a ``lead`` that crosses bucket borders). A ``totals``
@@ -172,7 +173,9 @@ def _bucketize(df: DataFrame, order_col: str, splits: list[float]) -> DataFrame:
     tmp = "_pfx_v"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BKT, handleInvalid="keep")
     out = b.transform(df.withColumn(tmp, F.col(order_col).cast("double")))
-    return out.withColumn(_BKT, F.col(_BKT).cast("int")).drop(tmp)
+    # a null order value gets bucket -1: first in ascending order and last in
+    # descending order, as the window's default null ordering puts it
+    return out.withColumn(_BKT, F.coalesce(F.col(_BKT).cast("int"), F.lit(-1))).drop(tmp)
 
 
 def _plain(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: list[str],

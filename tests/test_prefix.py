@@ -90,3 +90,12 @@ def test_next_cols_cross_buckets(spark):
     for kw in ({}, BUCKETED):
         got = {r["v"]: r["next_x"] for r in running_totals(df, "v", [], descending=True, next_cols=["x"], **kw).collect()}
         assert got[0.0] is None and all(got[float(i)] == (i - 1) * 10 for i in range(1, 50))
+
+
+def test_null_order_values_are_kept_on_both_paths(spark):
+    df = spark.createDataFrame([(None, 1), (1.0, 2), (2.0, 3), (3.0, 4)], "v double, c long")
+    for desc in (False, True):
+        plain = sorted((r["v"] is None, r["v"] or 0, r["cum_c"]) for r in running_totals(df, "v", ["c"], descending=desc).collect())
+        bucketed = sorted((r["v"] is None, r["v"] or 0, r["cum_c"])
+                          for r in running_totals(df, "v", ["c"], descending=desc, **BUCKETED).collect())
+        assert plain == bucketed and len(plain) == 4
