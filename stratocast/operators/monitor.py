@@ -117,7 +117,7 @@ def sliding_rate(log: DataFrame, width: str = "5 minutes", slide: str | None = "
                  by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Events per second in sliding (or tumbling, slide None) windows, per label."""
     win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    out = log.groupBy(win.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    out = log.where(F.col(ts).isNotNull()).groupBy(win.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n",
                       (F.col("n") / F.lit(_seconds(width))).alias("rate"))
 
@@ -127,7 +127,7 @@ def error_share(requests: DataFrame, is_error: Column, width: str = "5 minutes",
                 ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """Errors over all requests per window; 0 without errors, denominator floored at 1."""
     win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    out = requests.groupBy(win.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"),
+    out = requests.where(F.col(ts).isNotNull()).groupBy(win.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"),
                                                     F.count_if(is_error).alias("n_error"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
                       "n", "n_error",
@@ -140,7 +140,7 @@ def latency_quantiles(requests: DataFrame, value: str, width: str = "5 minutes",
                       ts: str = "ts") -> DataFrame:
     """p50 / p95 / p99 per window from the bucketed histogram of each window."""
     win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    src = requests.select(win.alias("w"), F.col(value))
+    src = requests.where(F.col(ts).isNotNull()).select(win.alias("w"), F.col(value))
     src = src.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), value)
     hist = histogram(src, value, bounds, ["window_start", "window_end"])
     return histogram_quantiles(hist, qs, ["window_start", "window_end"])

@@ -91,3 +91,10 @@ def test_expect_monotone_bucketed(spark):
                                  "threshold double, recall double")
     for kw in ({}, BUCKETED):
         assert [r["threshold"] for r in Q.expect_monotone(grid, "threshold", "recall", **kw).collect()] == [0.4]
+
+
+def test_rows_without_time_belong_to_no_window(spark):
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 30)
+    df = spark.createDataFrame([(t0, "ok"), (None, "error")], "ts timestamp, kind string")
+    assert [r["n"] for r in O.sliding_rate(df, "5 minutes", None).collect()] == [1]
+    assert O.error_share(df, F.col("kind") == "error", "5 minutes", None).first()["n_error"] == 0
