@@ -74,7 +74,10 @@ def align_columns(df: DataFrame, columns: T.StructType | Sequence[tuple[str, str
     have = set(df.columns)
     names = {n for n, _ in spec}
     passthrough = [F.col(c) for c in keep if c in have and c not in names]
-    return df.select(*passthrough, *[(F.col(n).cast(t) if n in have else typed_null(t)).alias(n) for n, t in spec])
+    # try_cast: a badly typed value becomes null instead of failing the job
+    # under ANSI (records are validated separately, see validate_records)
+    return df.select(*passthrough, *[(F.col(n).try_cast(t) if n in have else typed_null(t)).alias(n)
+                                     for n, t in spec])
 
 
 # P7

@@ -117,3 +117,8 @@ def test_row_rules(spark):
         raise AssertionError("expected an error")
     except ValueError:
         pass
+
+
+def test_align_columns_never_fails_on_bad_text(spark):
+    df = spark.createDataFrame([("12",), ("abc",)], "Month string")
+    assert [r["Month"] for r in P.align_columns(df, [("Month", "int")]).collect()] == [12, None]
