@@ -92,19 +92,32 @@ def validate_records(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("violations", v).withColumn("valid", F.size("violations") == 0)
 
 
+def parse_json_records(lines: DataFrame, schema: T.StructType, text_col: str = "value") -> DataFrame:
+    """Typed fields of flat JSON records plus ``type_errors``: the fields that
+    were given but do not have the declared type (they are null in the typed
+    columns). Works on batch and streaming text."""
+    typed = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"})
+    raw = F.from_json(F.col(text_col), T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"})
+    parsed = lines.select(typed.alias("_t"), raw.alias("_r"))
+    errors = F.array_compact(F.array(*[
+        F.when(F.col("_r")[f.name].isNotNull() & F.col("_t")[f.name].isNull(), F.lit(f.name))
+        for f in schema.fields]))
+    return parsed.select(*[F.col("_t")[f.name].alias(f.name) for f in schema.fields], errors.alias("type_errors"))
+
+
 def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) frames of :func:`validate_records` -- two filters of one plan."""
     checked = validate_records(df, rules)
     return checked.where("valid").drop("violations", "valid"), checked.where(~F.col("valid"))
 
 
-def feature_record_rules(month_col: str = "Month", corrupt_col: str | None = None) -> dict[str, Column]:
+def feature_record_rules(month_col: str = "Month", type_errors_col: str | None = None) -> dict[str, Column]:
     """Rules of a feature record: all fields optional, month in 1..12 when given,
-    and (when read from JSON) no badly typed field."""
+    and (when parsed by :func:`parse_json_records`) no badly typed field."""
     m = F.col(month_col)
     rules = {"month_range": m.isNull() | m.between(1, 12)}
-    if corrupt_col:
-        rules["well_typed"] = F.col(corrupt_col).isNull()
+    if type_errors_col:
+        rules["well_typed"] = F.size(F.col(type_errors_col)) == 0
     return rules
 
 

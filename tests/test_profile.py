@@ -122,3 +122,18 @@ def test_row_rules(spark):
 def test_align_columns_never_fails_on_bad_text(spark):
     df = spark.createDataFrame([("12",), ("abc",)], "Month string")
     assert [r["Month"] for r in P.align_columns(df, [("Month", "int")]).collect()] == [12, None]
+
+
+def test_json_records_with_wrong_types_are_rejected(spark):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("Month", T.IntegerType()), T.StructField("Humidity3pm", T.DoubleType()),
+                           T.StructField("Location", T.StringType())])
+    lines = spark.createDataFrame([('{"Month": 7, "Humidity3pm": 80.5, "Location": "Sydney"}',),
+                                   ('{"Month": 7, "Humidity3pm": "high"}',),
+                                   ('{}',),
+                                   ('{"Month": 13}',)], "value string")
+    recs = P.parse_json_records(lines, schema)
+    out = P.validate_records(recs, P.feature_record_rules("Month", "type_errors")).collect()
+    assert [r["valid"] for r in out] == [True, False, True, False]
+    assert out[1]["violations"] == ["well_typed"] and out[1]["type_errors"] == ["Humidity3pm"]
+    assert out[3]["violations"] == ["month_range"]
