@@ -47,3 +47,13 @@ def start_scoring(model: PipelineModel, records: DataFrame, schema: T.StructType
     if trigger:
         w = w.trigger(**trigger)
     return q1, w.start()
+
+
+def json_records_stream(spark, path: str, schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Feature records arriving as JSON lines in a folder: typed columns plus
+    ``type_errors`` (use with ``feature_record_rules(..., "type_errors")``)."""
+    from ..operators.rows import parse_json_records
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return parse_json_records(reader.load(path), schema)

@@ -98,3 +98,17 @@ def test_restart_from_checkpoint_is_exactly_once(spark, tmp_path):
     fs = T.StructType([T.StructField("x", T.DoubleType())])
     ids = [r["request_id"] for r in spark.read.schema(log_schema(fs)).json(str(tmp_path / "log")).collect()]
     assert len(ids) == 150 and len(set(ids)) == 150
+
+
+def test_json_stream_records_are_typed_and_checked(spark, tmp_path):
+    from stratocast.operators import rows as P
+    from stratocast.streaming.scoring import json_records_stream
+    from pyspark.sql import types as T
+    src = tmp_path / "json"
+    src.mkdir()
+    (src / "a.jsonl").write_text('{"x": 1.5, "Month": 3}\n{"x": "bad", "Month": 4}\n{"Month": 0}\n')
+    schema = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("Month", T.IntegerType())])
+    s = P.validate_records(json_records_stream(spark, str(src), schema),
+                           P.feature_record_rules("Month", "type_errors")).select("x", "Month", "valid")
+    out = read_output(spark, run_available(s, "t_json"), s.schema).orderBy("Month").collect()
+    assert [(r["Month"], r["valid"]) for r in out] == [(0, False), (3, True), (4, False)]
