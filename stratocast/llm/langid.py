@@ -207,7 +207,9 @@ def _once(h: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def predict(documents: DataFrame, model: Filter, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Append the predicted language and score to every row (all columns kept)."""
+    """Append the predicted language and score to every row. All columns are
+    kept, except that those with the new names are replaced."""
+    documents = documents.drop(*names)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = documents.schema
 

@@ -53,15 +53,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit) for every row, from the whole text."""
+    """``doc_id, key, fp`` for every row: a hash of the text and its fingerprint
+    (signed 64-bit), from the whole text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return documents.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
 
 
 class BKTree:
@@ -177,8 +178,9 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the
-    smallest ``doc_id`` reachable over links, for every row.
+    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` (the smallest
+    ``doc_id`` reachable over links), ``key`` (a hash of the text) and
+    ``group_fp`` (the component's smallest fingerprint) for every row.
 
     Null and empty texts have fingerprint zero and are linked like any other.
     Rows that repeat a ``doc_id`` stay separate rows; null ids never become a
@@ -190,7 +192,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     comp = connected_components(links(per_fp, radius))
     roots = per_fp.join(comp, per_fp["fp"] == comp["node"]).select("fp", "low", "root")
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = roots.join(lows, "root").select("fp", "component_id")
-    names = per_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    linked = roots.join(lows, "root").select("fp", "component_id", "root")
+    names = per_fp.join(linked, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "fp").alias("group_fp"))
     return docs.join(names, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key", "group_fp")

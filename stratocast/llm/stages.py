@@ -16,6 +16,12 @@ from stratocast.sources import table
 MIN_SCORE = 0.2         # share of a text's n-grams that its language must hold
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of a document) and ``text``: operators add columns
+    beside them without clashing with the documents' own."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: drop documents in no learned language (no letter, or too
     few of their n-grams belong to any). Learned from the labels in ``docs``;
@@ -23,42 +29,44 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = langid.learn(docs)
     if not model.langs:
         return docs
-    out = langid.predict(docs, model, names=("_lang_pred", "_score"))
-    return out.where((F.col("_lang_pred") != "und") & (F.col("_score") >= MIN_SCORE)).select(docs.columns)
+    out = langid.predict(_carried(docs), model)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of each component, keep the document with the smallest id.
-
-    Rows that repeat an id (or whose component has no id but null) keep one of
-    those with the same fingerprint, the one with the smallest content hash.
-    """
-    groups = simhash.near_duplicates(docs, shingle=3, radius=2).checkpoint()
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    on = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    out = docs.join(kept, on).drop(kept["doc_id"])
-    single, repeated = out.where("_n = 1").drop("_n"), kept.where("_n > 1")
-    if repeated.isEmpty():
-        return single
-    again = out.where("_n > 1").drop("_n").dropDuplicates(["doc_id"])
-    return single.unionByName(again)
+    """SimHash: one document of each component stays, the one with the smallest
+    id (null ids last; then the smaller hash of the text). Of rows that repeat
+    both id and text, one stays."""
+    groups = simhash.near_duplicates(docs, shingle=3, radius=2).select("doc_id", "key", "group_fp").checkpoint()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best")
+    kept = groups.groupBy("group_fp").agg(best).select("best.doc_id", "best.key")
+    same = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    kept = _same_id(kept, same).select(kept["doc_id"].alias("id"), kept["key"].alias("k"), "copies").checkpoint()
+    d = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
+    out = d.join(kept, d["doc_id"].eqNullSafe(kept["id"]) & (d["key"] == kept["k"]))
+    once = out.where("copies = 1").select("row.*")
+    if kept.where("copies > 1").isEmpty():
+        return once
+    return once.unionByName(out.where("copies > 1").dropDuplicates(["doc_id", "key"]).select("row.*"))
+
+
+def _same_id(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b, a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: drop documents that share a run with the benchmark."""
     _, hits = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    dirty = hits.select("key").distinct()
-    key = F.md5(F.coalesce("text", F.lit("")))
-    return docs.withColumn("_key", key).join(dirty.withColumnRenamed("key", "_key"), "_key", "left_anti").select(docs.columns)
+    d = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    return d.join(hits.select("key").distinct(), "key", "left_anti").select("row.*")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: replace every span by its kind; ``n_chars`` follows the new text."""
-    found = pii.find_pii(docs, pii.train(docs.select("doc_id", "text")))
-    text = pii.redact(found)
-    out = found.withColumn("_new", text)
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))).withColumn(
-        "text", F.col("_new")).select(docs.columns)
+    found = pii.find_pii(_carried(docs), pii.train(docs.select("doc_id", "text")))
+    found = found.withColumn("new", pii.redact(found))
+    new = {"text": F.col("new"), "n_chars": F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
