@@ -5,10 +5,10 @@ for up to about a million small rows and fatal at cluster scale, where the
 ordered input (distinct scores, distinct values of a measured column) can
 hold billions of rows, and one partition key may hold a third of them.
 
-Plan used above ``small_rows`` rows:
+The plan, the same for every size:
 
 1. cut the order column at approximate quantiles (``approxQuantile``; the
-   driver receives at most ``max_buckets`` doubles), so the bucket is a
+   driver receives one double per bucket), so the bucket is a
    deterministic function of the value and survives recomputation;
 2. sum each (partition, bucket) -- a table of at most groups x buckets rows;
 3. running sum over that small table gives each bucket's offset;
@@ -29,9 +29,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 250_000
 # A side of at most this many rows is broadcast; above it AQE picks the join.
 BROADCAST_ROWS = 1_000_000
 
@@ -103,14 +101,14 @@ def _order(c: str, descending: bool) -> Column:
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
                    with_next: bool = False, prefix: str = "cum_",
-                   small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = MAX_BUCKETS, next_cols: Sequence[str] = (),
+                   rows_per_bucket: int = ROWS_PER_BUCKET, next_cols: Sequence[str] = (),
                    totals: dict | None = None) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` in ``order_col`` order.
 
     Rows should be unique per (``partition_cols``, ``order_col``) and the
     order column numeric; use :func:`collapse` first. Null order values sort
-    first ascending and last descending on both paths. With
+    first ascending and last descending; a null partition value is a partition
+    of its own. With
     ``with_next`` a column ``next_{order_col}`` holds the following order value
     within the partition (null for the last one); ``next_cols`` does the same
     for other columns (a ``lead`` that crosses bucket borders). A ``totals``
@@ -125,16 +123,10 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     if totals is not None:
         totals["n"] = n
         totals.update({c: row[f"_t_{c}"] for c in sum_cols})
-    if n <= small_rows:
-        return _plain(base, order_col, sum_cols, partition_cols, descending, nexts, prefix)
-
-    nb = int(min(max_buckets, max(2, math.ceil(n / rows_per_bucket))))
+    nb = max(1, math.ceil(n / rows_per_bucket))
     probs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(base.approxQuantile(order_col, probs, 1.0 / (4 * nb))))
-    splits = [-float("inf"), *bounds, float("inf")]
-    if len(splits) < 3:
-        splits = [-float("inf"), float("inf")]
-    bucketed = _bucketize(base, order_col, splits)
+    bounds = sorted(set(base.approxQuantile(order_col, probs, 1.0 / (4 * nb)))) if probs else []
+    bucketed = _bucketize(base, order_col, bounds)
 
     # (2) per-bucket sums and (3) offsets over the small table.
     bkt_order = F.col(_BKT).desc() if descending else F.col(_BKT).asc()
@@ -151,10 +143,15 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         *[F.coalesce(F.sum(f"_pfx_b_{c}").over(wprev), F.lit(0)).alias(f"_pfx_o_{c}") for c in sum_cols],
         F.lead("_pfx_first").over(wb).alias("_pfx_next_first"),
     )
-    # groups x buckets rows: broadcast after a size check (always small
-    # without partition columns, where it is at most max_buckets rows)
-    offsets = F.broadcast(offsets) if not partition_cols else broadcast_if_small(offsets)
-    joined = bucketed.join(offsets, [*partition_cols, _BKT], "inner")
+    # groups x buckets rows: broadcast after a size check (without partition
+    # columns there is one row per bucket); null keys must meet null keys
+    offsets = offsets.select(*[F.col(c).alias(f"_pfx_k_{c}") for c in [*partition_cols, _BKT]],
+                             *[F.col(f"_pfx_o_{c}") for c in sum_cols], "_pfx_next_first")
+    offsets = broadcast_if_small(offsets, known_rows=None if partition_cols else nb + 1)
+    same = F.lit(True)
+    for c in [*partition_cols, _BKT]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_pfx_k_{c}"))
+    joined = bucketed.join(offsets, same, "inner")
 
     # (4) window inside each (partition, bucket)
     w = Window.partitionBy(*partition_cols, _BKT).orderBy(_order(order_col, descending))
@@ -169,25 +166,17 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     return joined.select(*out_cols)
 
 
-def _bucketize(df: DataFrame, order_col: str, splits: list[float]) -> DataFrame:
-    tmp = "_pfx_v"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BKT, handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp, F.col(order_col).cast("double")))
+def _bucketize(df: DataFrame, order_col: str, bounds: list[float]) -> DataFrame:
     # a null order value gets bucket -1: first in ascending order and last in
     # descending order, as the window's default null ordering puts it
+    if not bounds:
+        return df.withColumn(_BKT, F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    tmp = "_pfx_v"
+    b = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol=tmp, outputCol=_BKT, handleInvalid="keep")
+    out = b.transform(df.withColumn(tmp, F.col(order_col).cast("double")))
     return out.withColumn(_BKT, F.coalesce(F.col(_BKT).cast("int"), F.lit(-1))).drop(tmp)
 
 
-def _plain(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: list[str],
-           descending: bool, nexts: list[str], prefix: str) -> DataFrame:
-    w = Window.partitionBy(*partition_cols).orderBy(_order(order_col, descending))
-    wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.col(c) for c in df.columns]
-    cols += [F.sum(c).over(wrun).alias(f"{prefix}{c}") for c in sum_cols]
-    cols += [F.lead(c).over(w).alias(f"next_{c}") for c in nexts]
-    return df.select(*cols)
-
-
 def row_index(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
               descending: bool = False, name: str = "idx", **kw) -> DataFrame:
     """0-based position of each row in ``order_col`` order (values unique)."""

@@ -11,8 +11,8 @@ from stratocast.session import get_spark  # noqa: E402
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
 
-# forces the bucketed (cluster-scale) path of the prefix operator on tiny data
-BUCKETED = {"small_rows": 0, "rows_per_bucket": 7}
+# many buckets of the prefix operator on tiny data
+BUCKETED = {"rows_per_bucket": 7}
 
 
 @pytest.fixture(scope="session")

@@ -99,3 +99,16 @@ def test_null_order_values_are_kept_on_both_paths(spark):
         bucketed = sorted((r["v"] is None, r["v"] or 0, r["cum_c"])
                           for r in running_totals(df, "v", ["c"], descending=desc, **BUCKETED).collect())
         assert plain == bucketed and len(plain) == 4
+
+
+def test_null_partitions_are_kept_at_any_bucket_size(spark):
+    """A null partition value is a partition like any other (against brute force)."""
+    rows = [(None if i % 3 == 0 else i % 3, float(i * 7 % 100), i % 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, v double, c long").groupBy("g", "v").sum("c").withColumnRenamed("sum(c)", "c")
+    have = [tuple(r) for r in df.collect()]
+    exp = _expected(have)
+    for kw in ({}, BUCKETED):
+        got = running_totals(df, "v", ["c"], ["g"], with_next=True, **kw).collect()
+        assert {(r["g"], r["v"]): (r["cum_c"], r["next_v"]) for r in got} == exp and len(got) == len(have)
+        med = {r["g"]: r["quantile"] for r in exact_quantiles(df, ["v"], [0.5], ["g"], **kw).collect()}
+        assert med == {g: float(np.median([v for gg, v, _ in have if gg == g])) for g in (None, 1, 2)}
