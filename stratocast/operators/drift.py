@@ -65,9 +65,17 @@ def wasserstein_from_long(long: DataFrame, group_cols: Sequence[str] = (), std_f
     keys = [*group_cols, "column"]
     ref = F.col("is_ref")
     counts = long.groupBy(*keys, "value").agg(F.count_if(ref).alias("n_ref"), F.count_if(~ref).alias("n_cur"))
-    totals = long.groupBy(*keys).agg(
-        F.count_if(ref).alias("n_ref"), F.count_if(~ref).alias("n_cur"),
-        F.stddev_pop(F.when(ref, F.col("value"))).alias("ref_std"))
+    # everything else comes from the counts: one pass over the raw rows
+    counts = keep(counts)
+    mean = counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("n_ref")) / F.nullif(F.sum("n_ref"), F.lit(0))).alias("_mean"))
+    mean = mean.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mean")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+    dev = F.col("value") - F.col("_mean")
+    totals = counts.join(broadcast_if_small(mean, known_rows=n_keys), same).groupBy(*keys).agg(
+        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
+        F.sqrt(F.sum(dev * dev * F.col("n_ref")) / F.nullif(F.sum("n_ref"), F.lit(0))).alias("ref_std"))
     cum = running_totals(counts, "value", ["n_ref", "n_cur"], partition_cols=keys, with_next=True, **prefix_kw)
     t = totals.withColumnRenamed("n_ref", "t_ref").withColumnRenamed("n_cur", "t_cur")
     gap = F.abs(ratio(F.col("cum_n_ref"), F.col("t_ref")) - ratio(F.col("cum_n_cur"), F.col("t_cur")))
@@ -154,8 +162,8 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
 
     A column without current values is ``no_data`` and never flagged.
     """
-    # the tracked columns of both tables, read once for both long forms
-    both = keep(_sides(ref, cur, [*numeric, *categorical]))
+    # the tracked columns of both tables, read once for each kind
+    both = _sides(ref, cur, [*numeric, *categorical])
     nl = numeric_long(both, numeric) if numeric else None
     cl = categorical_long(both, categorical) if categorical else None
     return column_drift_from_long(nl, cl, _tracked(ref.sparkSession, numeric, categorical),
@@ -177,17 +185,20 @@ def dataset_drift(columns: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
 def drift_summary(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                   min_samples: int = 400, share_threshold: float = 0.5, column_threshold: float = 0.1,
                   ts: Column | None = None, **kw) -> DataFrame:
-    """One-row verdict: ``ok`` with the share and the retrain advice, or
-    ``insufficient`` (never a verdict) when the current table is too small."""
+    """One-row verdict: ``ok`` with the share and the retrain advice,
+    ``insufficient`` (never a verdict) when the current table is too small, or
+    ``unmeasured`` when no tracked column could be compared (a broken log must
+    not look healthy; :func:`retrain_decision` skips on it)."""
     sizes = attach_one_row(ref.agg(F.count(F.lit(1)).alias("n_reference")),
                            cur.agg(F.count(F.lit(1)).alias("n_current")))
     ds = dataset_drift(column_drift(ref, cur, numeric, categorical, column_threshold, **kw))
     j = attach_one_row(sizes, ds)
-    enough = F.col("n_current") >= F.lit(int(min_samples))
+    large = F.col("n_current") >= F.lit(int(min_samples))
+    enough = large & (F.col("n_measured") > 0)
     share = F.when(enough, F.col("share"))
     return j.select(
         (ts if ts is not None else F.current_timestamp()).alias("ts"),
-        F.when(enough, F.lit("ok")).otherwise(F.lit("insufficient")).alias("status"),
+        F.when(enough, F.lit("ok")).when(large, F.lit("unmeasured")).otherwise(F.lit("insufficient")).alias("status"),
         "n_reference", "n_current",
         F.when(enough, F.col("n_drifted")).alias("n_drifted"),
         share.alias("share"),
@@ -235,7 +246,12 @@ def calibrate(reference: DataFrame, normal: DataFrame, shifted: DataFrame, key:
         d = df.select(key, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
         u = F.pmod(F.xxhash64(F.col(key), F.col("draw"), F.lit(seed), F.lit(kind)), F.lit(1 << 40)) \
             .cast("double") / float(1 << 40)
+        if n_rows < max_n:
+            raise ValueError(f"{kind}: {n_rows} rows cannot give draws of {max_n}")
         d = d.withColumn("_u", u).where(F.col("_u") < cut)
+        short = d.groupBy("draw").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.count(F.lit(1))).first()
+        if short[1] < n_draws or short[0] < max_n:
+            raise ValueError(f"{kind}: a draw holds fewer than {max_n} rows; raise oversample")
         from pyspark.sql import Window
         w = Window.partitionBy("draw").orderBy("_u", key)
         d = d.withColumn("_rank", F.row_number().over(w))
@@ -269,7 +285,8 @@ def calibration_table(calib: DataFrame) -> DataFrame:
     """min / median / max share per (kind, size)."""
     return calib.groupBy("kind", "size").agg(
         F.min("share").alias("min_share"), F.median("share").alias("median_share"),
-        F.max("share").alias("max_share"), F.count(F.lit(1)).alias("n_draws"))
+        F.max("share").alias("max_share"), F.count(F.lit(1)).alias("n_draws"),
+        F.min("n_current").alias("min_n_current"))
 
 
 # R7 -------------------------------------------------------------------------
@@ -283,12 +300,13 @@ def separating_interval(calib: DataFrame) -> DataFrame:
 
 # R8 -------------------------------------------------------------------------
 def retrain_decision(summaries: DataFrame, now: Column, max_age_hours: float = 36.0) -> DataFrame:
-    """Decision from the latest summary: skip (absent, insufficient, stale), alert or nothing."""
+    """Decision from the latest summary: skip (absent, insufficient, unmeasured, stale), alert or nothing."""
     latest = summaries.agg(F.max_by(F.struct(*[F.col(c) for c in summaries.columns]), F.col("ts")).alias("s"))
     s = F.col("s")
     age_h = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(s["ts"].cast("timestamp"))) / 3.6e9
     decision = (F.when(s.isNull(), F.lit("skip_absent"))
                  .when(s["status"] == "insufficient", F.lit("skip_insufficient"))
+                 .when(s["status"] == "unmeasured", F.lit("skip_unmeasured"))
                  .when(age_h > F.lit(float(max_age_hours)), F.lit("skip_stale"))
                  .when(s["retrain"], F.lit("alert"))
                  .otherwise(F.lit("nothing")))

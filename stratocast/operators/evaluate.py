@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ratio, ratio_or_zero, rnd
+from ..functions import nan_to_null, ratio, ratio_or_zero, rnd
 from .prefix import attach_one_row as _one_row_join
 from .prefix import running_totals
 
@@ -42,8 +42,12 @@ def metrics_from_counts(tp: Column, fp: Column, tn: Column, fn: Column) -> list[
 # V2 -------------------------------------------------------------------------
 def scores_at(df: DataFrame, label: str = "label", score: str = "score",
               threshold: float = 0.5) -> DataFrame:
-    """accuracy, precision, recall, F1 when predicting ``score >= threshold``."""
-    c = confusion(df.withColumn("_pred", F.col(score) >= F.lit(float(threshold))), label, "_pred")
+    """accuracy, precision, recall, F1 when predicting ``score >= threshold``.
+
+    Rows without a score (null or NaN) are left out, as in the curves.
+    """
+    s = nan_to_null(F.col(score).cast("double"))
+    c = confusion(df.withColumn("_pred", s >= F.lit(float(threshold))), label, "_pred")
     return c.select(F.lit(float(threshold)).alias("threshold"), "tp", "fp", "tn", "fn",
                     *metrics_from_counts(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")))
 
@@ -87,9 +91,13 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 
 
 # Score table shared by V4-V8 ------------------------------------------------
-def score_table(df: DataFrame, label: str = "label", score: str = "score", **prefix_kw) -> DataFrame:
+def score_table(df: DataFrame, label: str = "label", score: str = "score", ends: dict | None = None,
+                **prefix_kw) -> DataFrame:
     """One row per distinct score: pos, neg, and counts of rows with a score >= it.
 
+    ``ends`` receives the totals (``"n"``: distinct scores), for the end
+    points of curves.
+
     Columns: score, pos, neg, tp (positives at or above), fp (negatives at or
     above), n_pos, n_neg (totals), rank_desc (1 for the highest score).
     """
@@ -100,6 +108,8 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", **pre
                 .withColumn("one", F.lit(1).cast("long")))
     tot: dict = {}
     cum = running_totals(counts, "score", ["pos", "neg", "one"], totals=tot, **prefix_kw)
+    if ends is not None:
+        ends.update(tot)
     # grand totals come from the size check of the running sums (no extra job)
     t = cum.select("*", F.lit(tot.get("pos") or 0).cast("long").alias("n_pos"),
                    F.lit(tot.get("neg") or 0).cast("long").alias("n_neg"),
@@ -129,12 +139,13 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", table:
               **prefix_kw) -> DataFrame:
     """(point, threshold, fpr, tpr): origin first, then one point per distinct score descending."""
     t = table if table is not None else score_table(df, label, score, **prefix_kw)
-    pts = t.select(F.col("rank_desc").alias("point"), F.col("score").alias("threshold"),
-                   ratio(F.col("fp"), F.col("n_neg")).alias("fpr"),
-                   ratio(F.col("tp"), F.col("n_pos")).alias("tpr"))
-    origin = t.limit(1).select(F.lit(0).cast("long").alias("point"), F.lit(None).cast("double").alias("threshold"),
-                               F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return origin.unionByName(pts)
+    # the highest score also brings the origin: no second pass for one row
+    first = F.col("rank_desc") == 1
+    none = F.lit(None).cast("double")
+    point = F.struct(F.col("rank_desc").cast("long").alias("point"), F.col("score").alias("threshold"),
+                     ratio(F.col("fp"), F.col("n_neg")).alias("fpr"), ratio(F.col("tp"), F.col("n_pos")).alias("tpr"))
+    origin = F.struct(F.lit(0).cast("long").alias("point"), none.alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return t.select(F.inline(F.when(first, F.array(origin, point)).otherwise(F.array(point))))
 
 
 # V6 -------------------------------------------------------------------------
@@ -142,15 +153,14 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", table: D
              **prefix_kw) -> DataFrame:
     """(point, threshold, precision, recall) at each distinct score ascending, then the (1, 0) end."""
     t = table if table is not None else score_table(df, label, score, **prefix_kw)
-    pts = t.select(
-        (F.col("n_scores") - F.col("rank_desc")).alias("point"), F.col("score").alias("threshold"),
-        ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        ratio(F.col("tp"), F.col("n_pos")).alias("recall"),
-    )
-    end = t.limit(1).select(F.col("n_scores").cast("long").alias("point"),
-                            F.lit(None).cast("double").alias("threshold"),
-                            F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return pts.unionByName(end)
+    # the highest score also brings the end: no second pass for one row
+    last = F.col("rank_desc") == 1
+    point = F.struct((F.col("n_scores") - F.col("rank_desc")).cast("long").alias("point"), F.col("score").alias("threshold"),
+                     ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                     ratio(F.col("tp"), F.col("n_pos")).alias("recall"))
+    end = F.struct(F.col("n_scores").cast("long").alias("point"), F.lit(None).cast("double").alias("threshold"),
+                   F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return t.select(F.inline(F.when(last, F.array(point, end)).otherwise(F.array(point))))
 
 
 # V7 -------------------------------------------------------------------------
@@ -255,19 +265,15 @@ def thin_indices(m: int, n: int) -> list[int]:
 
 
 def thin_curve(curve: DataFrame, order_col: str = "point", n: int = 200,
-               round_cols: Sequence[str] = (), digits: int = 4, **prefix_kw) -> DataFrame:
+               round_cols: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """Keep about ``n`` points of a curve at equal index steps (ends kept), values rounded.
 
-    The row count is one scalar; the kept indices (at most n) are a small
-    broadcast table for a semi join.
+    ``order_col`` numbers the points 0, 1, ... without gaps, as the curves
+    here do; the largest number is one scalar (only that column is computed)
+    and the kept indices (at most n) are a literal list.
     """
-    tot: dict = {}
-    one = curve.withColumn("_thin_one", F.lit(1).cast("long"))
-    ranked = (running_totals(one, order_col, ["_thin_one"], totals=tot, prefix="_c", **prefix_kw)
-              .withColumn("_idx", F.col("_c_thin_one") - 1).drop("_thin_one", "_c_thin_one"))
-    m = tot["n"]                      # from the size check of the running count
-    keep = curve.sparkSession.createDataFrame([(i,) for i in thin_indices(m, n)], "_idx long")
-    out = ranked.join(F.broadcast(keep), "_idx", "left_semi").drop("_idx")
+    top = curve.agg(F.max(order_col)).first()[0]
+    out = curve.where(F.col(order_col).isin(thin_indices(0 if top is None else int(top) + 1, n) or [-1]))
     for c in round_cols:
         out = out.withColumn(c, rnd(F.col(c), digits))
     return out
@@ -279,7 +285,7 @@ def compare_thresholds(df: DataFrame, label: str = "label", score: str = "score"
     """Effect of moving the threshold from ``a`` to ``b``: metric deltas, missed
     events recovered, false alarms added and rows whose decision flips."""
     y = F.col(label).cast("int") == 1
-    s = F.col(score)
+    s = nan_to_null(F.col(score).cast("double"))
     lo, hi = min(a, b), max(a, b)
     agg = df.agg(
         F.count_if(y & (s >= a)).alias("tp_a"), F.count_if(~y & (s >= a)).alias("fp_a"),

@@ -192,26 +192,35 @@ def latest_gauge(gauges: DataFrame, series_cols: Sequence[str] = ("metric",), ts
 
 # O10 ------------------------------------------------------------------------
 def inhibit_alerts(alerts: DataFrame, source: str, target_severities: Sequence[str] = ("critical", "warning"),
-                   equal: Sequence[str] = ("job",), bucket_seconds: float = 3600.0) -> DataFrame:
+                   equal: Sequence[str] = ("job",)) -> DataFrame:
     """Drop alerts of the same ``equal`` labels while the source alert fires; the source stays.
 
-    Overlap needs a range condition; both sides are cut into time buckets
-    (one row per bucket an interval spans), joined on (labels, bucket), then
-    the overlap is checked, so no label group is crossed with itself.
-    Input columns: alert_id, alertname, severity, equal..., start, end.
+    An alert without an end still fires. A target is dropped if the latest
+    source alert that begins by the target's end ends at or after the target's
+    start: source alerts are merged into disjoint intervals per label group
+    first, so that one row decides, found by carrying the last interval along
+    the group's time line. Nothing is joined on ranges or cut into time slots.
+    Labels must be equal and not null. Columns: alert_id, alertname, severity,
+    equal..., start, end.
     """
-    bsec = float(bucket_seconds)
-
-    def buckets(df):
-        s = F.floor(F.unix_micros(F.col("start").cast("timestamp")) / F.lit(bsec * 1e6)).cast("long")
-        e = F.floor(F.unix_micros(F.col("end").cast("timestamp")) / F.lit(bsec * 1e6)).cast("long")
-        return df.withColumn("_bkt", F.explode(F.sequence(s, e)))
-
-    src = buckets(alerts.where(F.col("alertname") == source)).select(
-        *equal, "_bkt", F.col("start").alias("_s_start"), F.col("end").alias("_s_end"))
-    tgt_all = alerts.where((F.col("alertname") != source) & F.col("severity").isin(list(target_severities)))
-    tgt = buckets(tgt_all).select("alert_id", *equal, "_bkt", "start", "end")
-    cond = [tgt[c] == src[c] for c in equal] + [tgt["_bkt"] == src["_bkt"],
-                                                tgt["start"] <= src["_s_end"], src["_s_start"] <= tgt["end"]]
-    hit = tgt.join(src, cond, "inner").select(tgt["alert_id"]).distinct()
+    open_end = F.coalesce(F.col("end").cast("timestamp"), F.lit("9999-12-31 00:00:00").cast("timestamp"))
+    begin = F.col("start").cast("timestamp")
+    known = F.lit(True)
+    for c in equal:
+        known = known & F.col(c).isNotNull()
+    src = alerts.where((F.col("alertname") == source) & known).select(*equal, begin.alias("_s"), open_end.alias("_e"))
+    order = Window.partitionBy(*equal).orderBy("_s", "_e")
+    before = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    isle = F.sum(F.when(before >= F.col("_s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = (src.withColumn("_isle", isle).groupBy(*equal, "_isle").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")))
+    tgt = alerts.where((F.col("alertname") != source) & F.col("severity").isin(list(target_severities)) & known)
+    # targets stand at their end, after sources that begin at that moment
+    line = merged.select(*equal, F.col("_s").alias("_at"), F.lit(0).alias("_kind"), F.col("_e").alias("_until"),
+                         F.lit(None).cast("timestamp").alias("_from"), F.lit(None).cast(alerts.schema["alert_id"].dataType).alias("alert_id"))
+    line = line.unionByName(tgt.select(*equal, open_end.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp").alias("_until"),
+                                       begin.alias("_from"), "alert_id"))
+    w = Window.partitionBy(*equal).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # merged intervals are disjoint, so the last to begin also ends last
+    hit = (line.withColumn("_last", F.last("_until", ignorenulls=True).over(w))
+               .where((F.col("_kind") == 1) & (F.col("_last") >= F.col("_from"))).select("alert_id").distinct())
     return alerts.join(broadcast_if_small(hit), "alert_id", "left_anti")

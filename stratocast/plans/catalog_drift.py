@@ -169,9 +169,14 @@ def q_calibrate(spark, sf_dir):
     return r6(R.calibration_table(_calibration(spark, sf_dir)), ["min_share", "median_share", "max_share"])
 
 
-@query("separating_interval")
+@query("separating_interval", """
+SELECT user_id % 8 AS size, max(value) FILTER (event_type != 'error') AS normal_max, min(value) FILTER (event_type = 'error') AS shifted_min,
+       max(value) FILTER (event_type != 'error') < min(value) FILTER (event_type = 'error') AS separated FROM events GROUP BY 1""")
 def q_separating_interval(spark, sf_dir):
-    return r6(R.separating_interval(_calibration(spark, sf_dir)), ["normal_max", "shifted_min"])
+    """Events as a calibration table: their values as shares, errors as shifted traffic."""
+    from ..sources import table
+    kind = F.when(F.col("event_type") == "error", "shifted").otherwise("normal")
+    return R.separating_interval(table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("size"), kind.alias("kind"), F.col("value").alias("share")))
 
 
 # S2 --------------------------------------------------------------------------

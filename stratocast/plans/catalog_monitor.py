@@ -266,22 +266,26 @@ def q_parse_log_lines(spark, sf_dir):
 g AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(5, 96) t(i))
 SELECT threshold FROM g
 EXCEPT
-SELECT threshold FROM (SELECT threshold, CAST(count_if(score >= threshold) AS BIGINT) AS n FROM g, scored GROUP BY threshold)""")
+SELECT threshold FROM (SELECT threshold, CAST(count_if(score >= threshold) AS BIGINT) AS n FROM g, scored GROUP BY threshold) WHERE n % 5 != 0""")
 def q_expect_grid(spark, sf_dir):
     from ..operators import evaluate as V
-    grid = V.threshold_grid(S.scored(spark, sf_dir))
+    # a damaged grid: some thresholds are missing
+    grid = V.threshold_grid(S.scored(spark, sf_dir)).where((F.col("tp") + F.col("fp")) % 5 != 0)
     return Q.expect_grid(grid, "threshold", V.grid_thresholds())
 
 
 @query("expect_monotone", S.with_ctes(S.SCORED_SQL).rstrip() + """,
 g AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(5, 96) t(i)),
-k AS (SELECT threshold, CAST(count_if(label = 1 AND score >= threshold) AS DOUBLE) / CAST(count_if(label = 1) AS BIGINT) AS recall
+k AS (SELECT threshold, CAST(count_if(label = 1 AND score >= threshold) AS DOUBLE) / CAST(count_if(label = 1) AS BIGINT)
+             + CASE WHEN count_if(score >= threshold) % 7 = 0 THEN 0.5 ELSE 0 END AS recall
       FROM g, scored GROUP BY threshold),
 l AS (SELECT threshold, recall, lag(recall) OVER (ORDER BY threshold) AS prev_recall FROM k)
 SELECT threshold, recall, prev_recall FROM l WHERE recall > prev_recall""")
 def q_expect_monotone(spark, sf_dir):
     from ..operators import evaluate as V
-    grid = V.threshold_grid(S.scored(spark, sf_dir))
+    # a damaged grid: some recalls are too high
+    bump = F.when((F.col("tp") + F.col("fp")) % 7 == 0, 0.5).otherwise(0.0)
+    grid = V.threshold_grid(S.scored(spark, sf_dir)).withColumn("recall", F.col("recall") + bump)
     return Q.expect_monotone(grid, "threshold", "recall", increasing=False)
 
 

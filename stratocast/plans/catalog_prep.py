@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import rows as P
@@ -124,24 +124,25 @@ def q_one_hot(spark, sf_dir):
 def q_feature_names(spark, sf_dir):
     tr = _train(spark, sf_dir)
     model = FP.fit_preprocessor(tr, NUM, CAT + ["month"])
-    names = FP.feature_names(model.transform(tr.limit(1)))
+    names = FP.feature_names(model.transform(tr))
     return spark.createDataFrame(list(enumerate(names)), "slot int, name string")
 
 
 # F7 -------------------------------------------------------------------------
-@query("check_complete", OBS + "SELECT CAST(0 AS BIGINT) AS n_incomplete, count(*) AS n_rows FROM obs "
-                              "WHERE target_flag IS NOT NULL")
+@query("check_complete", OBS + """
+SELECT 'prepared' AS input, CAST(0 AS BIGINT) AS n_incomplete, count(*) AS n_rows FROM obs WHERE target_flag IS NOT NULL
+UNION ALL
+SELECT 'unprepared', count_if(l_quantity IS NULL), count(*) FROM obs WHERE target_flag IS NOT NULL""")
 def q_check_complete(spark, sf_dir):
+    """Vectors of the fitted preparation, and of the same columns without it."""
+    lab = _labelled(spark, sf_dir)
     model = FP.fit_preprocessor(_train(spark, sf_dir), NUM, CAT + ["month"])
-    return FP.check_complete(model.transform(_labelled(spark, sf_dir)))
+    raw = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in NUM])
+    done = FP.check_complete(model.transform(lab)).select(F.lit("prepared").alias("input"), "*")
+    return done.unionByName(FP.check_complete(lab.select(array_to_vector(raw).alias("features"))).select(F.lit("unprepared").alias("input"), "*"))
 
 
 # M1-M8, M11 (rows-only: fitted models are not SQL) --------------------------
-_QUICK = {"logreg": {"maxIter": 100}, "logreg_balanced": {"maxIter": 100},
-          "rf": {"numTrees": 20, "maxDepth": 8}, "rf_balanced": {"numTrees": 20, "maxDepth": 8},
-          "gbt": {"maxIter": 20}}
-
-
 def _split(spark, sf_dir):
     from ..operators.prefix import keep
     lab = _labelled(spark, sf_dir)
@@ -152,23 +153,22 @@ def _split(spark, sf_dir):
 @query("compare_models")
 def q_compare_models(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    table_, _ = M.compare_models(tr, te, NUM, CAT + ["month"], settings=("logreg", "logreg_balanced", "rf", "gbt"),
-                                 overrides=_QUICK)
+    table_, _ = M.compare_models(tr, te, NUM, CAT + ["month"], settings=M.SETTINGS)
     return M.report(table_).drop("seconds")
 
 
 @query("feature_importances")
 def q_feature_importances(spark, sf_dir):
     tr, _ = _split(spark, sf_dir)
-    m = M.train(tr, NUM, CAT + ["month"], "rf", overrides=_QUICK["rf"])
-    names = FP.feature_names(m.transform(tr.limit(1)))
+    m = M.train(tr, NUM, CAT + ["month"], "rf")
+    names = FP.feature_names(m.transform(tr))
     return M.feature_importances(m, names, 15)
 
 
 @query("score")
 def q_score(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    m = M.train(tr, NUM, CAT + ["month"], "logreg", overrides=_QUICK["logreg"])
+    m = M.train(tr, NUM, CAT + ["month"], "logreg")
     schema = [("l_orderkey", "bigint"), ("l_linenumber", "int"), *[(c, "double") for c in NUM],
               *[(c, "string") for c in CAT], ("month", "int")]
     return M.score(m, te, schema, threshold=0.5, version="1").select(
@@ -176,12 +176,19 @@ def q_score(spark, sf_dir):
 
 
 # P5 -------------------------------------------------------------------------
-@query("feature_lists", """
-SELECT * FROM (VALUES ('l_quantity', 'numeric', 0), ('l_extendedprice', 'numeric', 1),
-  ('l_discount', 'numeric', 2), ('l_tax', 'numeric', 3), ('l_linestatus', 'categorical', 0),
-  ('today_flag', 'categorical', 1), ('month', 'categorical', 2)) t(name, kind, position)""")
+_LAB = OBS.rstrip() + """,
+lab AS (SELECT *, month(l_shipdate) AS month FROM obs WHERE target_flag IS NOT NULL)
+"""
+
+
+@query("feature_lists", _LAB + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS name, '{kind}' AS kind, {i} AS position, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct FROM lab"
+    for kind, cols in (("numeric", NUM), ("categorical", CAT + ["month"])) for i, c in enumerate(cols)))
 def q_feature_lists(spark, sf_dir):
     lab = _labelled(spark, sf_dir).select(*NUM, *CAT, "month", "l_shipdate", "target_flag", "label")
     nums, cats = P.feature_lists(lab, CAT + ["month"], drop=["l_shipdate", "target_flag", "label"])
-    rows = [(n, "numeric", i) for i, n in enumerate(nums)] + [(c, "categorical", i) for i, c in enumerate(cats)]
-    return spark.createDataFrame(rows, "name string, kind string, position int")
+    listed = [(c, "numeric", i) for i, c in enumerate(nums)] + [(c, "categorical", i) for i, c in enumerate(cats)]
+    counts = lab.agg(*[F.count(c).alias(f"n_{c}") for c, _, _ in listed], *[F.count_distinct(c).alias(f"d_{c}") for c, _, _ in listed])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.lit(kind).alias("kind"), F.lit(i).alias("position"), F.col(f"n_{c}").alias("n_values"),
+                 F.col(f"d_{c}").alias("n_distinct")) for c, kind, i in listed])))

@@ -101,7 +101,7 @@ def q_stream_sustained_sessions(spark, sf_dir):
 @query("stream_score")
 def q_stream_score(spark, sf_dir):
     tr, _ = _split(spark, sf_dir)
-    model = M.train(tr, NUM, CAT + ["month"], "logreg", overrides={"maxIter": 100})
+    model = M.train(tr, NUM, CAT + ["month"], "logreg")
     schema = [*[(c, "double") for c in NUM], *[(c, "string") for c in CAT], ("month", "int")]
     li_schema = table(spark, sf_dir, "lineitem").schema
     stream = (spark.readStream.schema(li_schema).option("pathGlobFilter", "lineitem.parquet")

@@ -27,7 +27,7 @@ from ..operators import profile as A
 from ..operators import rows as P
 from ..operators import sampling as D
 from ..operators.prefix import attach_one_row, release_cached
-from ..sources.observations import (CATEGORICAL_FEATURES, DRIFT_TRACKED, DROP_COLS, TARGET, load_reference,
+from ..sources.observations import (freeze_reference, path_exists, CATEGORICAL_FEATURES, DRIFT_TRACKED, DROP_COLS, TARGET, load_reference,
                                     read_observations)
 from ..sources.prediction_log import read_prediction_log
 from ..sources.reports import write_report
@@ -117,7 +117,7 @@ def evaluation_report(train: DataFrame, test: DataFrame, numeric: Sequence[str],
         res[f"pr_{nm}"] = V.thin_curve(V.pr_curve(sc, table=tab), "point", 200, ["precision", "recall"])
         res[f"auc_{nm}"] = attach_one_row(V.roc_auc(sc, table=tab), V.average_precision(sc, table=tab))
     if "rf" in models:
-        names = FP.feature_names(models["rf"].transform(train.limit(1)))
+        names = FP.feature_names(models["rf"].transform(train))
         res["importances"] = M.feature_importances(models["rf"], names, 15)
     if out_dir:
         for name, df in res.items():
@@ -130,8 +130,14 @@ def drift_job(spark: SparkSession, reference_path: str, log_path: str, out_dir:
               fallback: DataFrame | None = None, tracked: Sequence[str] = DRIFT_TRACKED,
               categorical: Sequence[str] = ("Location",), min_samples: int = 400,
               share_threshold: float = 0.5) -> DataFrame:
-    """Compare logged traffic with the frozen reference; append summary and gauges."""
+    """Compare logged traffic with the frozen reference; append summary and gauges.
+
+    The first run freezes its sample of ``fallback`` at ``reference_path``, so
+    that all later runs compare with the same rows.
+    """
     from pyspark.sql import types as T
+    if fallback is not None and not path_exists(spark, reference_path):
+        freeze_reference(load_reference(spark, reference_path, fallback, tracked=tracked), reference_path)
     reference = load_reference(spark, reference_path, fallback, tracked=tracked)
     feats = T.StructType([T.StructField(c, T.StringType() if c in categorical else T.DoubleType())
                           for c in tracked])

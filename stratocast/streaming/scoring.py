@@ -23,12 +23,12 @@ from ..sources.prediction_log import log_records, write_prediction_log_stream
 
 def score_records(model: PipelineModel, records: DataFrame, schema: T.StructType | Sequence[tuple[str, str]],
                   rules: Mapping[str, Column], threshold: float = 0.5,
-                  version: str | None = None) -> tuple[DataFrame, DataFrame]:
+                  version: str | None = None, digits: int | None = 4) -> tuple[DataFrame, DataFrame]:
     """(scored valid rows, rejected rows) -- one plan, batch or stream."""
     checked = validate_records(records, rules)
     valid = checked.where("valid").drop("violations", "valid")
     rejected = checked.where(~checked["valid"]).drop("valid")
-    return score(model, valid, schema, threshold, version), rejected
+    return score(model, valid, schema, threshold, version, digits=digits), rejected
 
 
 def start_scoring(model: PipelineModel, records: DataFrame, schema: T.StructType | Sequence[tuple[str, str]],
@@ -36,7 +36,8 @@ def start_scoring(model: PipelineModel, records: DataFrame, schema: T.StructType
                   threshold: float = 0.5, version: str | None = None, feature_cols: Sequence[str] | None = None,
                   ts: str | None = "ts", trigger: dict | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """Start the two streaming queries (log sink and rejected sink)."""
-    scored, rejected = score_records(model, records, schema, rules, threshold, version)
+    # the log keeps 6 digits of the score as computed
+    scored, rejected = score_records(model, records, schema, rules, threshold, version, digits=None)
     names = list(feature_cols) if feature_cols else [n for n, _ in
                                                      ([(f.name, f.dataType) for f in schema.fields]
                                                       if isinstance(schema, T.StructType) else schema)]

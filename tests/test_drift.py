@@ -103,3 +103,20 @@ def test_calibration_separates_shifted_traffic(spark):
     assert sep[200]["separated"]
     tab = R.calibration_table(cal).collect()
     assert {(r["kind"], r["size"]) for r in tab} == {("normal", 50), ("normal", 200), ("shifted", 50), ("shifted", 200)}
+
+
+def test_nothing_measured_is_no_verdict(spark):
+    _, _, r, c = _tables(spark)
+    broken = c.select(F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("c"))
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    s = R.drift_summary(r, broken, ["x"], ["c"], min_samples=1, ts=ts)
+    row = s.first()
+    assert row["status"] == "unmeasured" and row["share"] is None and row["retrain"] is False
+    assert R.retrain_decision(s, F.lit("2024-01-01 01:00:00").cast("timestamp")).first()["decision"] == "skip_unmeasured"
+
+
+def test_short_draws_are_refused(spark):
+    import pytest
+    pop = spark.range(100).select("id", F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError, match="cannot give draws"):
+        R.calibrate(pop.select("x"), pop, pop, "id", ["x"], [], sizes=(50, 200), draws_normal=1, draws_shifted=1)

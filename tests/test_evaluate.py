@@ -117,3 +117,17 @@ def test_grid_choice_and_compare(spark):
     cmp = V.compare_thresholds(df, a=0.5, b=0.32).first()
     flips = sum(1 for _, s in rows if 0.32 <= s < 0.5)
     assert cmp["flipped_rows"] == flips
+
+
+def test_rows_without_a_score_are_left_out_everywhere(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, float("nan")), (1, None)], "label int, score double")
+    at = V.scores_at(df, threshold=0.5).first()
+    grid = V.threshold_grid(df, thresholds=[0.5]).first()
+    assert all(at[k] == grid[k] for k in ("tp", "fp", "tn", "fn")) and (at["tp"], at["fp"], at["tn"], at["fn"]) == (1, 0, 1, 0)
+    c = V.compare_thresholds(df, a=0.5, b=0.1).first()
+    assert c["added_false_alarms"] == 1 and c["flipped_rows"] == 1
+
+
+def test_curves_of_empty_tables_have_no_points(spark):
+    df = spark.createDataFrame([], "label int, score double")
+    assert V.roc_curve(df).count() == 0 and V.thin_curve(V.pr_curve(df)).count() == 0

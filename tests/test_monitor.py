@@ -69,7 +69,7 @@ def test_stale_latest_and_inhibit(spark):
         ("3", "Latency", "warning", "api", t + dt.timedelta(hours=2), t + dt.timedelta(hours=3)),
         ("4", "Latency", "warning", "other", t, t + dt.timedelta(minutes=5)),
     ], "alert_id string, alertname string, severity string, job string, start timestamp, end timestamp")
-    kept = sorted(r["alert_id"] for r in O.inhibit_alerts(al, "ApiDown", bucket_seconds=600).collect())
+    kept = sorted(r["alert_id"] for r in O.inhibit_alerts(al, "ApiDown").collect())
     assert kept == ["1", "3", "4"]
 
 
@@ -98,3 +98,30 @@ def test_rows_without_time_belong_to_no_window(spark):
     df = spark.createDataFrame([(t0, "ok"), (None, "error")], "ts timestamp, kind string")
     assert [r["n"] for r in O.sliding_rate(df, "5 minutes", None).collect()] == [1]
     assert O.error_share(df, F.col("kind") == "error", "5 minutes", None).first()["n_error"] == 0
+
+
+def test_inhibition_by_brute_force(spark):
+    """Open alerts, several jobs, touching and nested source intervals."""
+    import random
+    rnd, t0, rows = random.Random(5), dt.datetime(2024, 1, 1), []
+    for i in range(120):
+        a = t0 + dt.timedelta(minutes=rnd.randrange(300))
+        b = None if rnd.random() < 0.1 else a + dt.timedelta(minutes=rnd.randrange(0, 25))
+        name = "ApiDown" if rnd.random() < 0.2 else "Latency"
+        rows.append((str(i), name, rnd.choice(["critical", "warning", "info"]), rnd.choice(["api", "etl", "web", None]), a, b))
+    schema = "alert_id string, alertname string, severity string, job string, start timestamp, end timestamp"
+    far = dt.datetime(9999, 1, 1)
+    src = [r for r in rows if r[1] == "ApiDown"]
+    hit = {r[0] for r in rows if r[1] != "ApiDown" and r[2] != "info" and r[3] is not None
+           and any(s[3] == r[3] and r[4] <= (s[5] or far) and s[4] <= (r[5] or far) for s in src)}
+    got = {r["alert_id"] for r in O.inhibit_alerts(spark.createDataFrame(rows, schema), "ApiDown").collect()}
+    assert got == {r[0] for r in rows} - hit and hit
+
+
+def test_null_series_keep_their_alerts(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(minutes=i), 1.0) for s in (None, "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, v double")
+    for kw in ({}, BUCKETED):
+        got = {r["s"]: r["n_samples"] for r in O.sustained_alerts(df, F.col("v") > 0, 300, 60, ["s"], **kw).collect()}
+        assert got == {None: 20, "a": 20}
