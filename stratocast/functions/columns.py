@@ -43,9 +43,9 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
 def rnd(c: Column | str, digits: int) -> Column:
     """Round to ``digits`` by scaling first, then rounding half away from zero.
 
-    This is how NumPy / pandas and SQL engines round a double (on the scaled
-    binary value); Spark's ``round`` instead rounds the shortest decimal text
-    of the double, which differs on values like 5.855.
+    SQL engines round a double like this (on the scaled binary value; NumPy
+    does too, but takes ties to even). Spark's ``round`` instead rounds the
+    shortest decimal text of the double, which differs on values like 5.855.
     """
     c = F.col(c) if isinstance(c, str) else c
     scale = F.lit(float(10 ** digits))

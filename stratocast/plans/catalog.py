@@ -81,9 +81,10 @@ def q_profile_columns(spark, sf_dir):
 
 
 # --- A2 ---------------------------------------------------------------------
-@query("count_duplicates", OBS + """
+@query("count_duplicates", OBS + f"""
 SELECT CAST(sum(c - 1) AS BIGINT) AS n_duplicates, count(*) AS n_distinct_rows
-FROM (SELECT count(*) AS c FROM (SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE l_quantity > 45) GROUP BY ALL)""")
+FROM (SELECT count(*) AS c FROM (SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE l_quantity > 45)
+      GROUP BY {', '.join(OBS_COLS)})""")
 def q_count_duplicates(spark, sf_dir):
     """Whole rows; some are there twice."""
     obs = S.observations(spark, sf_dir)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
+from ..session import scratch_path
+from ..sources.reports import write_report
 from . import standins as S
 from .catalog import query, r6
 
@@ -147,6 +151,15 @@ def q_threshold_grid(spark, sf_dir):
     return V.round_grid(V.threshold_grid(_scored(spark, sf_dir)), 4)
 
 
+@query("write_report", _GRID_SQL + "SELECT * FROM grid")
+def q_write_report(spark, sf_dir):
+    """The grid written as a JSON report and read back."""
+    grid = V.round_grid(V.threshold_grid(_scored(spark, sf_dir)), 4)
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    write_report(grid, path)
+    return spark.read.schema(grid.schema).json(path)
+
+
 @query("grid_choice", _GRID_SQL + """
 SELECT (SELECT threshold FROM grid ORDER BY f1 DESC, threshold LIMIT 1) AS f1_threshold, max(f1) AS f1_max,
        (SELECT threshold FROM grid WHERE recall >= 0.7 ORDER BY abs(threshold - 0.5), threshold LIMIT 1)

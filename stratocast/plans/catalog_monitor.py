@@ -16,7 +16,7 @@ from ..operators import expect as Q
 from ..operators import monitor as O
 from ..session import scratch_path
 from ..sources import table, utc_to_ntz
-from ..sources.observations import parse_text_columns
+from ..sources.observations import parse_text_columns, read_observations
 from ..sources.prediction_log import log_records, read_prediction_log, write_prediction_log
 from . import standins as S
 from .catalog import query, r6
@@ -202,7 +202,7 @@ def q_inhibit_alerts(spark, sf_dir):
 _K = "(l_orderkey + l_linenumber)"
 
 
-@query("parse_observations", f"""
+_OBSERVATIONS_SQL = f"""
 SELECT l_orderkey, l_linenumber, TRY_CAST(q AS DOUBLE) AS l_quantity, TRY_CAST(d AS DATE) AS l_shipdate,
        CASE WHEN f IN ('NA', 'n/a', '') THEN NULL ELSE f END AS l_linestatus
 FROM (SELECT l_orderkey, l_linenumber,
@@ -211,21 +211,36 @@ FROM (SELECT l_orderkey, l_linenumber,
         CASE WHEN {_K} % 37 = 0 THEN '2001-13-45' WHEN {_K} % 41 = 0 THEN 'NA'
              ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d,
         CASE WHEN {_K} % 43 = 0 THEN 'NA' ELSE l_linestatus END AS f
-      FROM lineitem)""")
-def q_parse_observations(spark, sf_dir):
+      FROM lineitem)"""
+_OBSERVATIONS_SCHEMA = T.StructType([
+    T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_quantity", T.DoubleType()),
+    T.StructField("l_shipdate", T.DateType()), T.StructField("l_linestatus", T.StringType())])
+
+
+def _raw_observations(spark, sf_dir):
+    """Text columns with missing-value tokens and unparsable values."""
     li = table(spark, sf_dir, "lineitem")
     k = F.col("l_orderkey") + F.col("l_linenumber")
-    raw = li.select(
+    return li.select(
         "l_orderkey", "l_linenumber",
         F.when(k % 13 == 0, "NA").when(k % 29 == 0, "n/a").when(k % 31 == 0, "abc")
          .otherwise(F.col("l_quantity").cast("string")).alias("l_quantity"),
         F.when(k % 37 == 0, "2001-13-45").when(k % 41 == 0, "NA")
          .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("l_shipdate"),
         F.when(k % 43 == 0, "NA").otherwise(F.col("l_linestatus")).alias("l_linestatus"))
-    schema = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
-                           T.StructField("l_quantity", T.DoubleType()), T.StructField("l_shipdate", T.DateType()),
-                           T.StructField("l_linestatus", T.StringType())])
-    return parse_text_columns(raw, schema)
+
+
+@query("parse_observations", _OBSERVATIONS_SQL)
+def q_parse_observations(spark, sf_dir):
+    return parse_text_columns(_raw_observations(spark, sf_dir), _OBSERVATIONS_SCHEMA)
+
+
+@query("read_observations", _OBSERVATIONS_SQL)
+def q_read_observations(spark, sf_dir):
+    """The same rows written as CSV files and read back by the source."""
+    path = scratch_path(spark, f"observations-{uuid.uuid4().hex}")
+    _raw_observations(spark, sf_dir).write.option("header", True).csv(path)
+    return read_observations(spark, path, _OBSERVATIONS_SCHEMA)
 
 
 # S3 + S4 --------------------------------------------------------------------

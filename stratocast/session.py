@@ -69,18 +69,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+MAX_SHUFFLE_PARTITIONS = 40_000
+
+
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
-                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+                 target_partition_bytes: int = 256 << 20, shuffled_bytes: int | None = None) -> dict[str, str]:
     """Settings sized for a large input (for spark-submit or the builder).
 
-    Scan splits and shuffle partitions are sized so one task handles about
-    ``target_partition_bytes``; AQE coalesces small shuffle partitions and
-    splits skewed ones at run time, so over-partitioning is cheap. The
-    broadcast limit stays at Spark's default: the operators broadcast only
-    tables whose row count they checked.
+    Scan splits follow the input, shuffle partitions what is shuffled
+    (``shuffled_bytes``; a twentieth of the input unless given, as most
+    operators aggregate before they shuffle): about ``target_partition_bytes``
+    per task, at least two tasks per core. A shuffle of m map tasks into n
+    partitions makes m x n blocks, so their number is bounded; AQE coalesces
+    small partitions and splits skewed ones.
     """
     slots = max(1, executors * cores_per_executor)
-    shuffle = max(slots * 2, int(input_bytes // target_partition_bytes))
+    moved = input_bytes // 20 if shuffled_bytes is None else shuffled_bytes
+    shuffle = max(slots * 2, min(MAX_SHUFFLE_PARTITIONS, int(moved // target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),
@@ -89,9 +94,15 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-        "spark.default.parallelism": str(shuffle),
+        "spark.default.parallelism": str(slots * 2),
         "spark.sql.session.timeZone": "UTC",
         "spark.task.maxFailures": "8",
         "spark.stage.maxConsecutiveAttempts": "8",
         "spark.ui.enabled": "false",
     }
+
+
+def stream_conf(executors: int, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings for a streaming job: a state store per shuffle partition, so
+    one per core and no more (fixed for the life of its checkpoint)."""
+    return {"spark.sql.shuffle.partitions": str(max(1, executors * cores_per_executor)), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false"}

@@ -29,18 +29,21 @@ def with_event_time(stream: DataFrame, ts: str = "ts", delay: str = DEFAULT_WATE
 
 
 def sliding_rate_stream(stream: DataFrame, width: str = "5 minutes", slide: str | None = "1 minute",
-                        by: Sequence[str] = (), ts: str = "ts", delay: str = DEFAULT_WATERMARK) -> DataFrame:
-    return O.sliding_rate(with_event_time(stream, ts, delay, None), width, slide, by, ts)
+                        by: Sequence[str] = (), ts: str = "ts", delay: str = DEFAULT_WATERMARK,
+                         dedup_key: str | None = "request_id") -> DataFrame:
+    return O.sliding_rate(with_event_time(stream, ts, delay, dedup_key), width, slide, by, ts)
 
 
 def error_share_stream(stream: DataFrame, is_error: Column, width: str = "5 minutes",
-                       slide: str | None = "1 minute", ts: str = "ts", delay: str = DEFAULT_WATERMARK) -> DataFrame:
-    return O.error_share(with_event_time(stream, ts, delay, None), is_error, width, slide, ts)
+                       slide: str | None = "1 minute", ts: str = "ts", delay: str = DEFAULT_WATERMARK,
+                         dedup_key: str | None = "request_id") -> DataFrame:
+    return O.error_share(with_event_time(stream, ts, delay, dedup_key), is_error, width, slide, ts)
 
 
 def outcome_share_stream(stream: DataFrame, width: str = "5 minutes", label: str = "label", ts: str = "ts",
-                         delay: str = DEFAULT_WATERMARK) -> DataFrame:
-    s = with_event_time(stream, ts, delay, None)
+                         delay: str = DEFAULT_WATERMARK,
+                         dedup_key: str | None = "request_id") -> DataFrame:
+    s = with_event_time(stream, ts, delay, dedup_key)
     out = O.outcome_share(s, label, [F.window(F.col(ts), width).alias("w")])
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       "n", "n_positive", "share")
@@ -65,7 +68,8 @@ def sustained_sessions_stream(samples: DataFrame, predicate: Column, hold_second
 
 def latency_histogram_stream(stream: DataFrame, value: str, width: str = "5 minutes",
                              slide: str | None = "1 minute", bounds: Sequence[float] = O.LATENCY_BOUNDS,
-                             ts: str = "ts", delay: str = DEFAULT_WATERMARK) -> DataFrame:
+                             ts: str = "ts", delay: str = DEFAULT_WATERMARK,
+                         dedup_key: str | None = "request_id") -> DataFrame:
     """Per-window cumulative bucket counts of ``value`` (O6, streaming half).
 
     Quantiles need an ordered look at the buckets of a closed window, which a
@@ -74,12 +78,27 @@ def latency_histogram_stream(stream: DataFrame, value: str, width: str = "5 minu
     the emitted rows (a batch, or a micro-batch in ``foreachBatch``) into
     p50 / p95 / p99.
     """
-    s = with_event_time(stream, ts, delay, None)
+    s = with_event_time(stream, ts, delay, dedup_key)
     win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
     src = s.select(win.alias("w"), F.col(value))
     return O.histogram(src, value, bounds, ["w"]).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "bucket", "le", "cum_count")
 
 
+def proba_histogram_stream(stream: DataFrame, value: str = "proba", width: str = "5 minutes",
+                           bounds: Sequence[float] = O.PROBA_BOUNDS, ts: str = "ts", delay: str = DEFAULT_WATERMARK,
+                           dedup_key: str | None = "request_id") -> DataFrame:
+    """O2 on a stream: cumulative bucket counts of the scores per closed window."""
+    return latency_histogram_stream(stream, value, width, None, bounds, ts, delay, dedup_key)
+
+
+def latest_gauge_stream(gauges: DataFrame, series_cols: Sequence[str] = ("metric",), ts: str = "ts",
+                        value: str = "value") -> DataFrame:
+    """O9 on a stream (update mode): the newest value of each series that had a
+    new sample. One row of state per series; :func:`stratocast.operators.monitor.stale_series`
+    on the kept rows is the streaming half of O8."""
+    return O.latest_gauge(ntz_to_utc(gauges, [ts]), series_cols, ts, value)
+
+
 def quantiles_of_histograms(hist: DataFrame, qs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     return O.histogram_quantiles(hist, qs, ["window_start", "window_end"])
