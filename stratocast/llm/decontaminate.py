@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratocast.llm.joins import salted_left_join
 from stratocast.llm.words import words
 from stratocast.session import ensure_checkpoint_dir
 
@@ -146,7 +147,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
              .groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
     got = per_text.join(items, "key", "left")
     none = F.array().cast("array<string>")
-    out = headers.join(got, "key", "left").select(
+    # copies of a contaminated text share its key
+    out = salted_left_join(headers, got, "key", "doc_id").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", none).alias("item_ids"))
     return out.select(

@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratocast.llm.joins import salted_left_join
 from stratocast.llm.words import words
 from stratocast.session import ensure_checkpoint_dir
 
@@ -178,6 +179,6 @@ def scan(documents: DataFrame, scanner: Scanner) -> DataFrame:
         F.count(F.when(sure, 1)).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f"),
         F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])), ",").alias("l"), F.count(F.when(~sure, 1)).alias("u"))
     zero = F.lit(0).cast("bigint")
-    return d.select("doc_id", "key").join(got, "key", "left").select(
+    return salted_left_join(d.select("doc_id", "key"), got, "key", "doc_id").select(
         "doc_id", F.coalesce("n", zero).alias("n_licenses"), F.coalesce("f", F.lit("")).alias("families"),
         F.coalesce("l", F.lit("")).alias("paragraphs"), F.coalesce("u", zero).alias("n_unknown"))
