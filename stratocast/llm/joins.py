@@ -16,5 +16,5 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str
     null key joins nothing.
     """
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    copies = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("_salt"))
+    copies = right.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"))
     return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
