@@ -21,7 +21,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 END_OF_WORD = "</w>"
-MEMO = 1_200_000             # chunks kept in a worker; then the memo starts anew
+MEMO = 700_000               # chunks kept in a worker; then the memo starts anew
 SLICE = 1 << 20            # characters split at a time
 
 # fixed values: letters outside ASCII whose case and class no Unicode version changes
