@@ -58,19 +58,22 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens: top-level domain, host labels and their parts, path
-    segments by position (numbers as ``#``), file ending, query keys, scheme."""
+    segments (numbers as ``#``; the first three by position, deeper ones
+    without), file ending, query keys, scheme."""
     def tagged(tag: str, values: Column) -> Column:
         return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.lit(tag), v))
 
     labels = F.split(host, r"\.")
     plain = F.regexp_replace(path, r"[0-9]+", "#")
-    segments = F.slice(F.split(plain, "/"), 2, 3)
+    segments = F.split(plain, "/")
+    bare = lambda v: F.regexp_replace(v, r"\.[a-z]+\z", "")      # noqa: E731
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     return F.array_distinct(F.concat(
         F.array(F.concat(F.lit("tld:"), F.coalesce(F.element_at(labels, -1), F.lit("")))),
         tagged("host:", F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))),
         tagged("part:", F.filter(F.split(host, r"[.-]"), lambda v: F.length(v) > 2)),
-        F.transform(segments, lambda v, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(v, r"\.[a-z]+\z", ""))),
+        F.transform(F.slice(segments, 2, 3), lambda v, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), bare(v))),
+        tagged("path:", F.transform(F.slice(segments, F.lit(5), F.size(segments)), bare)),
         tagged("ends:", F.array(F.regexp_extract(path, r"\.([a-z]+)\z", 1))),
         tagged("query:", F.transform(F.split(query, "&"), lambda v: F.regexp_extract(v, r"\A([^=]*)", 1))),
         tagged("scheme:", F.array(F.regexp_extract(url, r"\A([A-Za-z]+)://", 1)))))

@@ -63,5 +63,12 @@ def test_mined_rules_by_brute_force(spark):
     assert model.judge(None) == (None, None, None)
 
 
+def test_deep_path_segments_are_mined_and_matched(spark):
+    urls = [f"http://{'x.com/de' if i % 2 else 'x.com/fr'}/{i % 7}a/{i % 5}b/{i % 3}c/{'casino' if i % 2 else 'news'}/{i}.html" for i in range(200)]
+    urls += ["http://y.net/a/b/c/d/e/casino/x", "http://y.net/a/b/c/d/e/f/x"]
+    got = [(r.verdict, r.mined_rule) for r in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).orderBy("page_id").collect()[-2:]]
+    assert got[0] == ("block", "path:casino") and got[1] == ("allow", None)
+
+
 def test_nothing_to_mine(spark):
     assert U.mine(spark.createDataFrame([], "items array<string>, label string")).index == {}
