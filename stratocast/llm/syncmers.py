@@ -3,18 +3,19 @@
 A ``K``-character substring is a closed syncmer if the smallest hash among its
 ``S``-character substrings lies at its first or last position. The choice
 depends on the substring alone, so the same passage gives the same anchors in
-any text. A fingerprint holds the anchors with the smallest hashes of the
-whole text (``ANCHORS`` of them, or all), each with its first position; two
-fingerprints are alike in the share of anchors that match in the same order.
+any text. A fingerprint holds all distinct anchors of the whole text, each
+with its first position; two fingerprints are alike in the share of anchors
+that match in the same order.
 
-Scale: fingerprints take one pass without a shuffle and have a fixed size.
-Comparing each document with its neighbour in id order shuffles every text
+Scale: fingerprints take one pass without a shuffle; their size grows with the
+text (about 2 anchors in 13 characters, some 7 characters for each). Comparing each document with its neighbour in id order shuffles every text
 once, into ranges of ids; a range also receives the one document that follows
 it, and is then read as a stream.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, S = 16, 4
-ANCHORS = 96
 SLICE = 1 << 20             # code points hashed at a time
+BATCH = 1 << 24             # characters of fingerprints given out at a time
 
 Print = tuple[np.ndarray, np.ndarray]       # hashes in ascending order, positions
 _NONE = (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
@@ -56,51 +57,63 @@ def _syncmers(cp: np.ndarray) -> Print:
     return (_mix(key) >> np.uint64(32)).astype(np.uint32), at
 
 
-def _smallest(hashes: np.ndarray, at: np.ndarray) -> Print:
-    u, first = np.unique(hashes, return_index=True)
-    return u[:ANCHORS], at[first[:ANCHORS]].astype(np.uint32)
-
-
 def fingerprint_of(text: str | None) -> Print:
     """Anchors of a whole text. A text without a syncmer (shorter than ``K``,
     mostly) has one anchor, its own hash; an empty or null text has none."""
     if not text:
         return _NONE
-    best = _NONE
+    parts = []
     for a in range(0, max(1, len(text) - K + 1), SLICE):
         cp = np.frombuffer(text[a:a + SLICE + K - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         if len(cp) >= K:
             h, at = _syncmers(cp)
-            best = _smallest(h, at) if a == 0 else _smallest(np.concatenate([best[0], h]), np.concatenate([best[1], at + a]))
-    if len(best[0]):
-        return best
+            parts.append((h, (at + a).astype(np.uint32)))
+    if any(len(h) for h, _ in parts):
+        hashes, first = np.unique(np.concatenate([h for h, _ in parts]), return_index=True)
+        return hashes, np.concatenate([at for _, at in parts])[first]
     digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
     return np.frombuffer(digest[:4], ">u4").astype(np.uint32), np.zeros(1, np.uint32)
 
 
 def to_text(p: Print) -> str:
-    """16 hex digits for each anchor: hash, position."""
-    return np.stack(p, axis=1).astype(">u4").tobytes().hex()
+    """Base64 of the number of anchors, their hashes by position (4 bytes
+    each) and the steps from position to position (7 bits in a byte, the
+    lowest first, the top bit set if more follow); empty without anchors."""
+    if not len(p[0]):
+        return ""
+    order = np.argsort(p[1], kind="stable")
+    steps = np.diff(p[1][order].astype(np.int64), prepend=0)
+    size = 1 + sum((steps >= 1 << b).astype(np.int64) for b in (7, 14, 21, 28))
+    start = np.cumsum(size) - size
+    coded = np.zeros(int(size.sum()), np.uint8)
+    for j in range(int(size.max())):
+        has = size > j
+        coded[start[has] + j] = steps[has] >> 7 * j & 127 | (size[has] > j + 1) << 7
+    return base64.b64encode(np.concatenate([[len(order)], p[0][order]]).astype(">u4").tobytes() + coded.tobytes()).decode()
 
 
 def from_text(s: str) -> Print:
-    a = np.frombuffer(bytes.fromhex(s), ">u4").reshape(-1, 2).astype(np.uint32)
-    return a[:, 0], a[:, 1]
+    raw = base64.b64decode(s)
+    if not raw:
+        return _NONE
+    n = int.from_bytes(raw[:4], "big")
+    hashes = np.frombuffer(raw, ">u4", n, 4).astype(np.uint32)
+    coded = np.frombuffer(raw, np.uint8, offset=4 + 4 * n).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], coded[:-1] < 128]))
+    at = np.arange(len(coded)) - np.repeat(start, np.diff(start, append=len(coded)))
+    order = np.argsort(hashes)
+    return hashes[order], np.cumsum(np.add.reduceat((coded & 127) << 7 * at, start))[order].astype(np.uint32)
 
 
 def likeness(a: Print, b: Print) -> float:
     """Share (0 to 1) of the two texts' anchors that occur in both in the same
-    order, estimated on the smallest hashes of their union."""
+    order."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
     shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(shared):
         return 0.0
     union = len(a[0]) + len(b[0]) - len(shared)
-    if len(a[0]) >= ANCHORS or len(b[0]) >= ANCHORS:
-        # beyond a full list's last hash the other text's anchors have no counterpart to be seen
-        limit = min(x[0][-1] for x in (a, b) if len(x[0]) >= ANCHORS)
-        union = int((a[0] <= limit).sum() + (b[0] <= limit).sum()) - len(shared)
     order = np.argsort(a[1][i], kind="stable")
     row = b[1][j][order]
     n = len(row) if (row[1:] > row[:-1]).all() else _longest_rise(row.tolist())
@@ -181,6 +194,8 @@ def with_next(documents: DataFrame) -> DataFrame:
         last = None                     # the document that waits for its next
         for b in batches:
             out: list[list] = [[] for _ in names]
+            size = 0
+            types = [b.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             for doc_id, text, extra, rng in zip(*(b.column(c) for c in ("doc_id", "text", "_extra", "_range"))):
                 extra = extra.as_py()
                 if extra and last is None:
@@ -196,8 +211,11 @@ def with_next(documents: DataFrame) -> DataFrame:
                            likeness(prev_print, e), likeness(prev_print, mine))
                     for c, v in zip(out, row):
                         c.append(v)
+                    size += len(row[3]) + len(row[4])
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+                        out, size = [[] for _ in names], 0
                 last = None if extra else (doc_id.as_py(), text, mine)
-            types = [b.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     rows = in_ranges(documents, int(spark.conf.get("spark.sql.shuffle.partitions")))

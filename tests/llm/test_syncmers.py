@@ -77,6 +77,25 @@ def test_long_texts_and_text_form(monkeypatch):
     assert S.likeness(whole, cut) == 1.0 and S.likeness(S.fingerprint_of(""), whole) == 0.0 and S.likeness(S.fingerprint_of(None), S.fingerprint_of("")) == 1.0
 
 
+def test_shared_passage_in_long_texts(spark):
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10)))      # noqa: E731
+    text = lambda n: " ".join(word() for _ in range(n))      # noqa: E731
+    passage = text(50)
+    a, b = (f"{text(8000)} {passage} {text(8000)}" for _ in range(2))
+    shared = set(S.fingerprint_of(a)[0].tolist()) & set(S.fingerprint_of(b)[0].tolist())
+    own = set(S.fingerprint_of(passage)[0].tolist())
+    assert len(a) > 90_000 and len(own) > 20 and own <= shared
+    r = S.with_next(spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")).where("doc_id = 2").first()
+    assert r.near_next >= len(own) / (2 * len(S.from_text(r.fingerprint)[0])) > 0 and abs(r.near_edited - 2 / 3) < 0.02
+
+
+def test_text_form_keeps_long_steps():
+    p = (np.array([1, 5, 2**32 - 1, 2**32 - 2], np.uint32)[[0, 1, 3, 2]], np.array([2**31, 0, 127, 70_000], np.uint32))
+    back = S.from_text(S.to_text(p))
+    assert (back[0] == p[0]).all() and (back[1] == p[1]).all() and len(S.from_text("")[0]) == 0
+
+
 def test_edited_texts_are_near_and_others_far(spark):
     rows = S.with_next(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).where("n_chars > 600").collect()
     near, other = np.array([r.near_edited for r in rows]), np.array([r.near_next for r in rows])
