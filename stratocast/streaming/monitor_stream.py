@@ -21,10 +21,14 @@ DEFAULT_WATERMARK = "10 minutes"
 
 def with_event_time(stream: DataFrame, ts: str = "ts", delay: str = DEFAULT_WATERMARK,
                     dedup_key: str | None = "request_id") -> DataFrame:
-    """Event-time column as TIMESTAMP, watermark, and replayed requests removed."""
+    """Event-time column as TIMESTAMP, watermark, and replayed requests removed.
+
+    Rows without an id all stay: nulls count as equal, so each gets a key of its own.
+    """
     s = ntz_to_utc(stream, [ts]).withWatermark(ts, delay)
     if dedup_key and dedup_key in s.columns:
-        s = s.dropDuplicatesWithinWatermark([dedup_key])
+        key = F.struct(F.col(dedup_key).alias("id"), F.when(F.col(dedup_key).isNull(), F.expr("uuid()")).alias("own"))
+        s = s.withColumn("_dedup", key).dropDuplicatesWithinWatermark(["_dedup"]).drop("_dedup")
     return s
 
 

@@ -33,6 +33,18 @@ def test_stream_dedup_of_replayed_requests(spark):
     assert out.count() == n
 
 
+def test_requests_without_an_id_stay(spark):
+    def some_null(df):
+        return df.withColumn("request_id", F.when(F.pmod(F.xxhash64("request_id"), F.lit(3)) > 0, F.col("request_id")))
+
+    log = some_null(S.prediction_log(spark, SF_SMALL))
+    n_null, n = log.where("request_id IS NULL").count(), log.count()
+    ev = S.events_stream(spark, SF_SMALL)
+    s = MS.with_event_time(some_null(S.as_prediction_log(ev.unionByName(S.events_stream(spark, SF_SMALL)))))
+    out = read_output(spark, run_available(s.select("request_id"), "t_dedup_null"), "request_id string")
+    assert n_null > 1 and out.where("request_id IS NULL").count() == 2 * n_null and out.count() == n + n_null
+
+
 def test_streaming_scorer_writes_log_and_rejected(spark, tmp_path):
     from stratocast.operators import rows as P
     from stratocast.plans import models as M
