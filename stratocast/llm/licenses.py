@@ -7,10 +7,14 @@ of the corpus that no template resembles ("none"); a held-out part sets, per
 family, the probability below which a paragraph is unknown. A prediction
 counts when the paragraph also holds enough of a template of that family.
 
-Scale: a text without any anchor word (checked by plain substring search)
-cannot be confirmed and costs no more than that. Paragraphs of the others are
+A paragraph is a line or, for wrapped notices, a few consecutive lines joined
+(see :func:`scan`); comment marks are no words and do not count.
+
+Scale: a text without any anchor word (checked by one pattern)
+cannot be confirmed and costs no more than that. Lines of the others are
 exploded without their text; results are keyed by the text's digest, so copies
-share them.
+share them. Joined lines are bounded by ``SPAN`` words, so their number grows
+with the lines.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratocast.llm.joins import salted_left_join
@@ -34,6 +38,7 @@ NEGATIVES = 4000            # corpus paragraphs in training (expected)
 FEATURES = 1 << 13
 PRECISION = 0.98
 HELD_BACK = 0.6             # share of a template's word trigrams that a paragraph must hold
+SPAN = 40                   # words that a wrapped notice may stretch over; templates have at most 29
 
 # fixed values: openings and notices of public licences, by family
 TEMPLATES = (
@@ -61,8 +66,11 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-# fixed values: every template holds one of these, and a confirmed paragraph must
-ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "permitted", "public domain")
+# fixed values: every ``HELD_BACK`` share of each template's trigrams holds
+# one of these (the short ones as whole words), so a confirmed paragraph must
+ANCHORS = ("licen", "copyright", "redistribut", "warrant", "permission", "permitted", "unencumbered", "domain", "released", "software", "attribution",
+           "source", "dedicated", "conditions", "granted", "compliance", "mozilla", "contributors", "derived", "waived", "extent")
+SHORT_ANCHORS = ("cc", "copy", "gnu")
 
 
 def _grams(w: Column, n: int) -> Column:
@@ -71,8 +79,7 @@ def _grams(w: Column, n: int) -> Column:
 
 
 def _has_anchor(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(a) for a in ANCHORS])
+    return text.rlike(rf"(?i){'|'.join(ANCHORS)}|(?<![a-z0-9])(?:{'|'.join(SHORT_ANCHORS)})(?![a-z0-9])")
 
 
 def _with_grams(paragraphs: DataFrame, text: str) -> DataFrame:
@@ -162,22 +169,62 @@ def train(documents: DataFrame, negatives: int = NEGATIVES, seed: int = 1) -> Sc
     return Scanner(model, families, thresholds, vocabulary, [(f, tri) for f, tri, _ in known])
 
 
+def _join(w: Column) -> Column:
+    return F.array_join(w, " ")
+
+
+def _stretches(lines: DataFrame) -> DataFrame:
+    """``key, line, to, p``: consecutive lines joined, as far as the lines
+    between the first and the last have ``SPAN`` words; a line without words
+    of its own (``n``) ends them. Only those with an anchor word."""
+    following = Window.partitionBy("key").orderBy("line").rowsBetween(1, SPAN + 1)
+    start = F.struct(F.lit(True).alias("on"), F.lit(0).alias("between"), F.col("tail").alias("p"),
+                     F.array().cast("array<struct<more:int,p:string>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        on = acc["on"] & (x["n"] > 0) & (acc["between"] <= SPAN)
+        made = F.struct((F.size(acc["out"]) + 1).alias("more"), F.concat_ws(" ", acc["p"], x["head"]).alias("p"))
+        return F.struct(on.alias("on"), (acc["between"] + x["n"]).alias("between"), F.when(on, made["p"]).otherwise(acc["p"]).alias("p"),
+                        F.when(on, F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).alias("out"))
+
+    df = lines.withColumn("next", F.collect_list(F.struct("n", "head")).over(following)).where("n > 0")
+    df = df.select("key", "line", F.explode(F.aggregate("next", start, add, lambda acc: acc["out"])).alias("x"))
+    return df.select("key", "line", (F.col("line") + F.col("x.more")).alias("to"), "x.p").where(_has_anchor(F.col("p")))
+
+
 def scan(documents: DataFrame, scanner: Scanner) -> DataFrame:
     """Per row of ``documents``: ``doc_id, n_licenses`` (confirmed paragraphs),
     ``families`` (sorted, comma-joined), ``paragraphs`` (``line:family`` of
-    each, in order) and ``n_unknown`` (paragraphs with an anchor word that
-    were not confirmed). Paragraphs are lines.
+    each, in order, by its first line) and ``n_unknown`` (lines with an anchor
+    word that lie in no confirmed paragraph).
+
+    Paragraphs are lines, and stretches of lines with words that were not
+    confirmed by themselves; a stretch holds every run of ``SPAN`` words
+    across its lines. Of overlapping confirmed stretches the one with the
+    largest share of its template wins, then the shorter, then the earlier.
 
     Null and empty texts have none; repeated rows stay separate.
     """
     d = documents.select("doc_id", "text").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     lines = d.where(_has_anchor(F.col("text"))).select("key", "text").distinct().select("key", F.posexplode(F.split("text", "\n")).alias("line", "p"))
-    found = scanner.classify(lines.where(_has_anchor(F.col("p"))), "p").select("key", "line", "family")
     sure = F.col("family").isNotNull()
-    listed = F.array_sort(F.collect_list(F.when(sure, F.struct("line", "family"))))       # a text's own lines
-    got = found.groupBy("key").agg(
-        F.count(F.when(sure, 1)).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f"),
-        F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])), ",").alias("l"), F.count(F.when(~sure, 1)).alias("u"))
+    one = scanner.classify(lines.withColumn("a", F.when(_has_anchor(F.col("p")), F.col("p"))), "a")
+    one = one.select("key", "line", F.col("a").isNotNull().alias("anchored"), "family", words(F.when(~sure, F.col("p"))).alias("w"))
+    one = one.select("key", "line", "anchored", "family", F.size("w").alias("n"), _join(F.slice("w", 1, SPAN)).alias("head"),
+                     _join(F.slice("w", F.greatest(F.size("w") - SPAN + 1, F.lit(1)), F.lit(SPAN))).alias("tail"))
+    wide = scanner.classify(_stretches(one), "p").where(sure).select("key", "line", "to", "family", "template")
+    rows = one.where(F.col("anchored")).select("key", "line", F.lit(None).cast("int").alias("to"), "family", F.lit(None).cast("double").alias("template")).unionByName(wide)
+    alone = F.col("to").isNull()
+    got = rows.groupBy("key").agg(      # a text's own lines
+        F.collect_list(F.when(alone & sure, F.struct("line", "family"))).alias("s"), F.collect_list(F.when(alone & ~sure, F.col("line"))).alias("u"),
+        F.array_sort(F.collect_list(F.when(~alone, F.struct((-F.col("template")).alias("rank"), (F.col("to") - F.col("line")).alias("more"), "line", "to", "family")))).alias("x"))
+    got = got.withColumn("x", F.aggregate("x", F.filter("x", lambda x: F.lit(False)), lambda acc, x: F.when(
+        F.exists(acc, lambda y: (y["line"] <= x["to"]) & (x["line"] <= y["to"])), acc).otherwise(F.concat(acc, F.array(x)))))
+    got = got.withColumn("s", F.array_sort(F.concat("s", F.transform("x", lambda x: F.struct(x["line"].alias("line"), x["family"].alias("family"))))))
+    got = got.select(
+        "key", F.size("s").cast("bigint").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform("s", lambda x: x["family"]))), ",").alias("f"),
+        F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])), ",").alias("l"),
+        F.size(F.filter("u", lambda i: ~F.exists("x", lambda x: i.between(x["line"], x["to"])))).cast("bigint").alias("u"))
     zero = F.lit(0).cast("bigint")
     return salted_left_join(d.select("doc_id", "key"), got, "key", "doc_id").select(
         "doc_id", F.coalesce("n", zero).alias("n_licenses"), F.coalesce("f", F.lit("")).alias("families"),

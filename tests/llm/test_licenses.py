@@ -40,6 +40,24 @@ def test_every_template_has_an_anchor(spark):
     assert t.where(~L._has_anchor(F.col("t"))).isEmpty()
 
 
+GPL = ("/*", " * This program is free software: you can redistribute it and/or modify", " * it under the terms of the GNU General Public License as published by", " * the Free Software Foundation", " */")
+BSD = ("# Redistribution and use in source and binary forms, with or without", "# modification, are permitted provided that the following conditions are", "# met")
+UNLICENSE = ("This is free and unencumbered software released into the", "public domain.")
+
+
+def test_hard_wrapped_notices(spark, docs, scanner):
+    texts = ["\n".join(x) for x in (GPL, BSD, UNLICENSE, ("int x;", *BSD, "", *GPL, "Released under the MIT License."), (BSD[0], "", *BSD[1:]))]
+    rows = L.scan(docs(texts), scanner).orderBy("doc_id").collect()
+    assert [r.families for r in rows[:4]] == ["GPL", "BSD", "Unlicense", "BSD,GPL,MIT"]
+    assert [r.n_licenses for r in rows[:4]] == [1, 1, 1, 3] and [r.paragraphs.split(",")[-1] for r in rows[3:4]] == ["10:MIT"]
+    assert "BSD" not in rows[4].families
+
+
+def test_every_share_of_a_template_has_an_anchor(spark):
+    t = L._templates(spark).select("tri", F.size(F.filter("tri", lambda x: ~L._has_anchor(x))).alias("free"))
+    assert t.where(F.col("free") >= L.HELD_BACK * F.size("tri")).isEmpty()
+
+
 def test_empty_tables(spark, docs, scanner):
     assert L.scan(docs([]), scanner).count() == 0
     assert L.train(docs([])).families[-1] == L.NONE
