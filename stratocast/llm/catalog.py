@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import chats, decontaminate, fixity, langid, licenses, packing, pii, simhash, syncmers, urls
+from stratocast.llm import chats, decontaminate, fixity, langid, licenses, packing, pii, qda, runs, simhash, spelling, syncmers, urls
 from stratocast.sources import table
 
 
@@ -138,6 +138,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, some of them
+    misspelt by rule."""
+    found = spelling.letter_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(spelling.vocabulary(spelling.misspell(found)))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, the tails of some repeated by rule."""
+    docs = runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.find_runs(docs).withColumn("best", runs.longest_run(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(runs.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned without the held-out quarter."""
+    return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY: dict[str, tuple] = {
     "op1_language_id": (op1_language_id, None),
     "op2_pii": (op2_pii, None),
@@ -149,4 +172,7 @@ REGISTRY: dict[str, tuple] = {
     "op8_chats": (op8_chats, OP8_SQL),
     "op9_decontaminate": (op9_decontaminate, OP9_SQL),
     "op10_simhash": (op10_simhash, None),
+    "op11_spelling": (op11_spelling, None),
+    "op12_runs": (op12_runs, None),
+    "op13_quality": (op13_quality, None),
 }
