@@ -1,25 +1,25 @@
 """Spelling variants: one-edit neighbours by a relational trie frontier.
 
 The vocabulary becomes a table of trie edges, and a table of states (word,
-position, node, edits) is joined with it level by level until no state is left;
-a state that reaches the end of its word and of another with one edit is a pair
-of neighbours.
+position, node, edits) is joined with it level by level, one depth of the trie
+after another; a state that reaches the end of its word and of another with one
+edit is a pair of neighbours. Each edge takes part in one join only.
 
-- The trie is path-compressed: its nodes are the prefixes after which words
-  differ or end, an edge carries all characters up to the next node. Rounds
-  follow the branchings on a path, not the length of the longest word.
 - A state without edits spends its edit where its word and the other first
-  differ, which can only be at a node: another character for one of the word's
-  (replaced), one more (inserted), or one fewer (deleted). So a pair is reached
-  in one way.
+  differ: another character for one of the word's (replaced), one more
+  (inserted), or one fewer (deleted). So a pair is reached in one way.
 - Near the root nearly everything follows nearly everything. Of two words one
   edit apart, either the first half of a word is a prefix of the other, or the
   rest of it is a suffix. One trie reads words forwards and one backwards, and a
   state starts with the first half (backwards: the rest) already read, so that
   neither has hot nodes near a root.
+- An edge knows signatures (a 64-bit set of hashes) of what may follow it; a
+  state whose rest is not among them is not made.
+- Beyond ``DEEP`` characters edges are path-compressed, so that very long words
+  cost one round a branching, not one a character.
 
-Nodes are named by 64-bit hashes of their prefix, words by MD5; a chance
-agreement can only add a pair, and each pair is confirmed on the words.
+Nodes are named by 64-bit hashes of their prefix; a chance agreement can only
+add a pair, and each pair is confirmed on the words.
 
 Scale: words are counted per task before the shuffle, so a frequent word is
 one row a task. All else works on distinct words. Tables that later steps read
@@ -28,20 +28,25 @@ again are written to the shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
 import string
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratocast.session import ensure_checkpoint_dir
+from stratocast.session import ensure_checkpoint_dir, scratch_path
 
 LETTERS = r"A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 RATIO = 2
-SLICE = 1 << 20          # prefixes handed on at a time
+SLICE = 1 << 20          # characters and prefixes handled at a time
+DEEP = 40                # from here on an edge carries all characters up to the next node
+AHEAD = 16               # characters behind an edge that its signature covers
 
 
 def letter_runs(documents: DataFrame) -> DataFrame:
@@ -75,22 +80,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``wid, back, depth, node, next`` for each prefix (backwards: suffix) that
-    a state of this word or of a neighbour may reach; ``next`` is the code point
-    after it, 0 at the word's end."""
+def _first_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, n, back, text, wid, start, depth, node, next, to, bit`` for each prefix
+    (backwards: suffix) that a state of this word or of a neighbour may reach:
+    ``next`` is the code point after it (0 at the word's end), ``to`` the prefix
+    with it, ``bit`` the signature of what then remains."""
     for b in batches:
-        texts, wid = b.column("word").to_pylist(), b.column("wid")
+        words = b.column("word").to_pylist()
         a = 0
-        while a < len(texts):
+        while a < len(words):
             z, size = a, 0
-            while z < len(texts) and (z == a or size + len(texts[z]) < SLICE):
-                size += len(texts[z])
+            while z < len(words) and (z == a or size + len(words[z]) < SLICE):
+                size += len(words[z])
                 z += 1
-            length = np.array([len(t) for t in texts[a:z]], np.int64)
             for back in (0, 1):
-                joined = "".join(t[::-1] for t in texts[a:z]) if back else "".join(texts[a:z])
-                cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+                texts = [t[::-1] for t in words[a:z]] if back else words[a:z]
+                length = np.array([len(t) for t in texts], np.int64)
+                cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
                 first = np.concatenate([[0], np.cumsum(length)[:-1]])
                 place = np.arange(len(cp)) - np.repeat(first, length)
                 power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64)]))
@@ -101,93 +107,125 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner = np.repeat(np.arange(len(length)), n)
                 depth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + low[owner]
                 at = first[owner] + depth
-                node = _mix(total[at] - total[first[owner]] + depth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(back))
+                node = _mix(total[at] - total[first[owner]] + depth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(back)).view(np.int64)
                 end = depth == length[owner]
                 follows = np.where(end, 0, cp[np.where(end, 0, at)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [wid.take(pa.array(owner + a)), pa.array(np.full(len(owner), bool(back))), pa.array(depth.astype(np.int32)),
-                     pa.array(node.view(np.int64)), pa.array(follows)], ["wid", "back", "depth", "node", "next"])
+                bit = [_signature(texts[o][d + 1:d + 1 + AHEAD]) for o, d in zip(owner.tolist(), depth.tolist())]
+                # beyond DEEP a prefix names its word by digest: long words are not repeated for each
+                named, below = pa.array(owner.astype(np.int32), mask=(depth >= DEEP) & ~end), pa.array(owner.astype(np.int32), mask=depth < DEEP)
+                ids = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() if len(t) >= DEEP else None for t in texts], pa.binary())
+                start = (length - length // 2 if back else length // 2).astype(np.int32)
+                columns = [pa.array(words[a:z]), b.column("n").slice(a, z - a), pa.array(texts)]
+                to = np.where(end, 0, np.append(node[1:], 0))
+                for i in range(0, len(owner), SLICE):
+                    j = slice(i, i + SLICE)
+                    yield pa.RecordBatch.from_arrays(
+                        [columns[0].take(named[j]), columns[1].take(named[j]), pa.array(np.full(len(depth[j]), bool(back))), columns[2].take(named[j]),
+                         ids.take(below[j]), pa.array(start[owner[j]]), pa.array(depth[j].astype(np.int32)), pa.array(node[j]), pa.array(follows[j]),
+                         pa.array(to[j]), pa.array(bit[j], pa.int32())], ["word", "n", "back", "text", "wid", "start", "depth", "node", "next", "to", "bit"])
             a = z
 
 
-def _paths(words: DataFrame) -> DataFrame:
-    """Per word and direction: ``at``, its nodes as ``(depth, node)`` in order,
-    and ``text``, the word as this direction reads it."""
-    named = words.select("word", "n", F.unhex(F.md5(F.col("word").cast("binary"))).alias("wid"))
-    steps = named.select("word", "wid").mapInArrow(_prefixes, "wid binary, back boolean, depth int, node bigint, next int")
-    low, high = F.min("next").alias("low"), F.max("next").alias("high")
-    nodes = steps.groupBy("node").agg(low, high).where("low != high OR low = 0").select("node")
-    at = steps.join(nodes, "node").groupBy("wid", "back").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at"))     # a word's own prefixes
-    text = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
-    return at.join(named, "wid").select("word", "n", "back", text.alias("text"), "at")
+def _signature(rest: str) -> int:
+    return xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass"), seed=42) & 63
 
 
-def _trie(paths: DataFrame) -> DataFrame:
-    """Per node: ``ends`` (the word that ends there, if any) and ``edges``:
-    first character ``c``, all characters ``label``, child node ``to`` and the
-    word that ends there. A node has one edge for each next character."""
-    each = F.transform("at", lambda x, i: F.struct(
-        x["node"].alias("node"), F.get("at", i - 1)["node"].alias("parent"),
-        F.substring("text", F.get("at", i - 1)["depth"] + 1, x["depth"] - F.get("at", i - 1)["depth"]).alias("label"),
-        F.when(x["depth"] == F.length("text"), F.struct("word", "n")).alias("ends")))
-    made = paths.select(F.explode(each).alias("x")).select("x.*")
-    # all words that pass through a node name the same parent and label
-    made = made.groupBy("node").agg(F.max(F.struct("parent", "label")).alias("up"), F.max("ends").alias("ends"))
-    own = made.select("node", "ends", F.lit(None).cast("struct<c:string,label:string,to:bigint,ends:struct<word:string,n:bigint>>").alias("edge"))
-    edge = F.struct(F.substring("up.label", 1, 1).alias("c"), F.col("up.label").alias("label"), F.col("node").alias("to"), "ends")
-    down = made.where("up.parent IS NOT NULL").select(F.col("up.parent").alias("node"), F.lit(None).cast("struct<word:string,n:bigint>").alias("ends"), edge.alias("edge"))
-    return own.unionByName(down).groupBy("node").agg(F.max("ends").alias("ends"), F.collect_list("edge").alias("edges"))
+def _bit(text: Column, pos: Column) -> Column:
+    """The signature of the text from ``pos`` on, as in :func:`_signature`."""
+    return F.pmod(F.xxhash64(F.substring(text, pos + 1, F.lit(AHEAD))), F.lit(64)).cast("int")
 
 
-def _at(text: Column, pos: Column, length: Column) -> Column:
-    return F.substring(text, pos + 1, length)
+STEP = "word string, n bigint, back boolean, text string, wid binary, start int, depth int, node bigint, next int, to bigint, bit int"
+
+
+def _deep(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and first states beyond ``DEEP`` characters, where a trie is mostly
+    single threads: nodes are only the prefixes after which words differ or
+    end, an edge carries all characters up to the next node."""
+    deep = steps.where(F.col("depth") >= DEEP)
+    node = deep.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"), F.max(F.col("depth") == DEEP).alias("top"))
+    node = node.where("low != high OR low = 0 OR top").select("node")
+    at = (deep.select("wid", "back", "depth", "node").join(node, "node").groupBy("wid", "back")
+          .agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at")))        # a word's own prefixes
+    long = deep.where("next = 0").select("wid", "back", "text", "start")
+    at = at.join(long, ["wid", "back"])
+    pairs = F.transform(F.slice("at", F.lit(2), F.size("at")), lambda x, i: F.struct(F.get("at", i).alias("a"), x.alias("z")))
+    edge = at.select("text", F.explode(pairs).alias("x"))
+    edge = edge.select(F.col("x.a.node").alias("node"), F.col("x.a.depth").alias("depth"), F.col("x.z.node").alias("to"),
+                       F.substring("text", F.col("x.a.depth") + 1, F.col("x.z.depth") - F.col("x.a.depth")).alias("label"),
+                       _bit(F.col("text"), F.col("x.z.depth")).alias("bit"))
+    states = at.select("text", "back", "start", F.explode("at").alias("x")).where(F.col("x.depth") >= F.col("start"))
+    return edge, states.select("text", "back", F.col("x.depth").alias("pos"), F.col("x.node").alias("node"), F.col("x.depth").alias("depth"))
+
+
+def _tables(words: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges and states without edits, written by depth, and the words' ends."""
+    spark = words.sparkSession
+    steps = words.select("word", "n").mapInArrow(_first_characters, STEP)
+    deep_edges, deep_states = _deep(steps)
+    edges = steps.where((F.col("depth") < DEEP) & (F.col("next") > 0)).select(
+        "node", "depth", "to", _character(F.col("next")).alias("label"), "bit")
+    edges = edges.unionByName(deep_edges).groupBy("node", "depth", "to", "label").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("ahead"))
+    edges.write.partitionBy("depth").parquet(f"{folder}/edges")
+    states = steps.where((F.col("depth") < DEEP) & (F.col("depth") >= F.col("start"))).select("text", "back", F.col("depth").alias("pos"), "node", "depth")
+    states.unionByName(deep_states).write.partitionBy("depth").parquet(f"{folder}/states")
+    ends = steps.where("next = 0").select("node", F.col("word").alias("near"), F.col("n").alias("near_n"))
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")       # noqa: E731
+    return (read("edges", "node bigint, to bigint, label string, ahead bigint, depth int"),
+            read("states", "text string, back boolean, pos int, node bigint, depth int"), ends)
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``word, near, near_n`` for all pairs of different words of ``word, n``
     (distinct words) that are one inserted, deleted or replaced code point
-    apart, each in both directions. An empty table gives an empty result; null words
-    are ignored."""
-    ensure_checkpoint_dir(words.sparkSession)
-    paths = _paths(words.where("word IS NOT NULL")).checkpoint()
-    trie = _trie(paths).checkpoint()
-    length, pos = F.length("text"), F.col("pos")
-    half = F.floor(F.length("text") / 2).cast("int")
-    start = paths.select("word", "back", "text", F.explode(F.filter(
-        "at", lambda x: x["depth"] >= F.when(F.col("back"), length - half).otherwise(half))).alias("x"))
-    start = start.select("word", "back", "text", F.col("x.depth").alias("pos"), F.col("x.node").alias("node"))
-    begun = start.join(trie, "node").select("word", "back", "text", "pos", F.explode("edges").alias("e"))
-    label, rest = F.col("e.label"), F.length("e.label")
-    mine, after = _at(F.col("text"), pos, F.lit(1)), _at(F.col("text"), pos + 1, F.lit(1))
-    other = F.col("e.c") != mine            # where nothing is left, mine is empty
-    step = lambda used: F.struct((pos + used).alias("pos"), F.col("e.to").alias("node"), F.col("e.ends").alias("ends"))     # noqa: E731
-    tail = F.substring(label, F.lit(2), rest)
-    replaced = F.when((pos < length) & other & (tail == _at(F.col("text"), pos + 1, rest - 1)), step(rest))
-    inserted = F.when(other & (tail == _at(F.col("text"), pos, rest - 1)), step(rest - 1))
-    deleted = F.when((pos + 1 < length) & (after != mine) & (F.col("e.c") == after) & (label == _at(F.col("text"), pos + 1, rest)), step(rest + 1))
-    # a word that ends one before this one's end is found at that node, once, whatever its edges
-    spent = begun.select("word", "back", "text", F.explode(F.array_compact(F.array(replaced, inserted, deleted))).alias("s"))
-    cut = (start.where(pos + 1 == length).join(trie.where("ends IS NOT NULL").select("node", "ends"), "node")
-           .select("word", "back", "text", F.struct(length.alias("pos"), "node", "ends").alias("s")))
-    frontier = spent.unionByName(cut).select("word", "back", "text", "s.*").checkpoint()
-    found = []
-    while True:
-        found.append(frontier.where((pos == length) & F.col("ends").isNotNull()).select("word", "back", "text", "ends"))
-        open_states = frontier.where(pos < length)
-        if open_states.isEmpty():
-            break
-        # one edge further, all of it equal: the edit is spent
-        on = open_states.select("word", "back", "text", "pos", "node").join(trie.select("node", "edges"), "node")
-        on = on.withColumn("e", F.get(F.filter("edges", lambda e: e["c"] == _at(F.col("text"), pos, F.lit(1))), F.lit(0)))
-        frontier = (on.where(label == _at(F.col("text"), pos, rest))
-                    .select("word", "back", "text", (pos + rest).alias("pos"), F.col("e.to").alias("node"), F.col("e.ends").alias("ends")).checkpoint())
-    out = found[0]
-    for f in found[1:]:
+    apart, each in both directions. An empty table gives an empty result; null
+    words are ignored."""
+    spark = words.sparkSession
+    words = words.where("word IS NOT NULL")
+    edges, fresh, ends = _tables(words, scratch_path(spark, f"spelling-{uuid.uuid4().hex}"))
+    text, pos, length = F.col("text"), F.col("pos"), F.length("text")
+    label, size = F.col("label"), F.length("label")
+    part = lambda at, n: F.substring(text, at + 1, n)                                       # noqa: E731
+    mine, after, c, tail = part(pos, F.lit(1)), part(pos + 1, F.lit(1)), F.substring("label", 1, 1), F.substring(label, F.lit(2), size)
+
+    def move(fits: Column, to: Column) -> Column:
+        """The state at position ``to`` if what remains may lie below the edge."""
+        return F.when(fits & (F.getbit("ahead", _bit(text, to)) == 1), to)
+
+    moves = F.array(
+        move((F.col("edits") == 1) & (label == part(pos, size)), pos + size),
+        move((F.col("edits") == 0) & (c != mine) & (pos < length) & (tail == part(pos + 1, size - 1)), pos + size),           # replaced
+        move((F.col("edits") == 0) & (c != mine) & (tail == part(pos, size - 1)), pos + size - 1),                            # inserted
+        move((F.col("edits") == 0) & (c != mine) & (pos + 1 < length) & (label == part(pos + 1, size)), pos + size + 1))      # deleted
+    # a word that ends one before this one's end
+    done = [fresh.where(pos + 1 == length).select("text", "back", "node")]
+    waiting = None
+    depths = sorted(r["depth"] for r in edges.select("depth").distinct().collect())         # one number a level
+    for d in depths:
+        now = fresh.where(F.col("depth") == d).withColumn("edits", F.lit(0))
+        if waiting is not None:
+            now = now.unionByName(waiting.where(F.col("depth") == d).withColumn("edits", F.lit(1)))
+        level = edges.where(F.col("depth") == d).select("node", "to", "label", "ahead")
+        met = now.drop("depth").join(level, "node")
+        moved = met.where((F.col("edits") == 0) | (c == mine)).select("text", "back", "to", (F.lit(d) + size).alias("depth"), F.explode(F.array_compact(moves)).alias("pos"))
+        moved = moved.select("text", "back", "pos", F.col("to").alias("node"), "depth")
+        later = waiting.where(F.col("depth") > d) if waiting is not None and d >= DEEP else None
+        waiting = (moved if later is None else moved.unionByName(later)).checkpoint()
+        done.append(waiting.where((pos == length) & (F.col("depth") > d)).select("text", "back", "node"))
+        waiting = waiting.where(pos < length)
+    out = done[0]
+    for f in done[1:]:
         out = out.unionByName(f)
-    near, forwards = F.col("ends.word"), F.floor(F.length("word") / 2).cast("int")
+    out = out.join(ends, "node").withColumn("word", F.when(F.col("back"), F.reverse("text")).otherwise(text))
+    half = F.floor(F.length("word") / 2).cast("int")
     # pairs that agree on the first half were found forwards
-    once = ~F.col("back") | (F.substring("word", F.lit(1), forwards) != F.substring(near, F.lit(1), forwards))
-    return out.where(once & (F.levenshtein("word", near, 1) == 1)).select("word", near.alias("near"), F.col("ends.n").alias("near_n"))
+    once = ~F.col("back") | (F.substring("word", F.lit(1), half) != F.substring("near", F.lit(1), half))
+    return out.where(once & (F.levenshtein("word", "near", 1) == 1)).select("word", "near", "near_n")
 
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
