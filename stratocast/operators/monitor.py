@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from .prefix import broadcast_if_small, running_totals
+from .prefix import ROWS_PER_BUCKET, broadcast_if_small, cut_ranges, running_totals
 
 # Bucket bounds of the probability histogram.
 PROBA_BOUNDS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -192,35 +192,39 @@ def latest_gauge(gauges: DataFrame, series_cols: Sequence[str] = ("metric",), ts
 
 # O10 ------------------------------------------------------------------------
 def inhibit_alerts(alerts: DataFrame, source: str, target_severities: Sequence[str] = ("critical", "warning"),
-                   equal: Sequence[str] = ("job",)) -> DataFrame:
+                   equal: Sequence[str] = ("job",), rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
     """Drop alerts of the same ``equal`` labels while the source alert fires; the source stays.
 
-    An alert without an end still fires. A target is dropped if the latest
-    source alert that begins by the target's end ends at or after the target's
-    start: source alerts are merged into disjoint intervals per label group
-    first, so that one row decides, found by carrying the last interval along
-    the group's time line. Nothing is joined on ranges or cut into time slots.
-    Labels must be equal and not null. Columns: alert_id, alertname, severity,
-    equal..., start, end.
+    An alert without an end still fires. A target is dropped if, of the source
+    alerts that begin by the target's end, the one that ends last ends at or
+    after the target's start: one running maximum along the time line decides,
+    nothing is joined on ranges. The time line is cut into ranges of about
+    ``rows_per_range`` rows; each task sees one range of one label group, and
+    what earlier ranges hold (one maximum each) is carried in. Labels must be
+    equal and not null. Columns: alert_id, alertname, severity, equal...,
+    start, end.
     """
     open_end = F.coalesce(F.col("end").cast("timestamp"), F.lit("9999-12-31 00:00:00").cast("timestamp"))
     begin = F.col("start").cast("timestamp")
     known = F.lit(True)
     for c in equal:
         known = known & F.col(c).isNotNull()
-    src = alerts.where((F.col("alertname") == source) & known).select(*equal, begin.alias("_s"), open_end.alias("_e"))
-    order = Window.partitionBy(*equal).orderBy("_s", "_e")
-    before = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    isle = F.sum(F.when(before >= F.col("_s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    merged = (src.withColumn("_isle", isle).groupBy(*equal, "_isle").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")))
+    never = F.lit(None).cast("timestamp")
+    src = alerts.where((F.col("alertname") == source) & known)
     tgt = alerts.where((F.col("alertname") != source) & F.col("severity").isin(list(target_severities)) & known)
     # targets stand at their end, after sources that begin at that moment
-    line = merged.select(*equal, F.col("_s").alias("_at"), F.lit(0).alias("_kind"), F.col("_e").alias("_until"),
-                         F.lit(None).cast("timestamp").alias("_from"), F.lit(None).cast(alerts.schema["alert_id"].dataType).alias("alert_id"))
-    line = line.unionByName(tgt.select(*equal, open_end.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp").alias("_until"),
-                                       begin.alias("_from"), "alert_id"))
-    w = Window.partitionBy(*equal).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # merged intervals are disjoint, so the last to begin also ends last
-    hit = (line.withColumn("_last", F.last("_until", ignorenulls=True).over(w))
-               .where((F.col("_kind") == 1) & (F.col("_last") >= F.col("_from"))).select("alert_id").distinct())
+    line = src.select(*equal, begin.alias("_at"), F.lit(0).alias("_kind"), open_end.alias("_until"), never.alias("_from"),
+                      F.lit(None).cast(alerts.schema["alert_id"].dataType).alias("alert_id"))
+    line = line.unionByName(tgt.select(*equal, open_end.alias("_at"), F.lit(1).alias("_kind"), never.alias("_until"), begin.alias("_from"), "alert_id"))
+    line = cut_ranges(line.withColumn("_us", F.unix_micros("_at")), "_us", rows_per_range, "_range")
+    ends = line.groupBy(*equal, "_range").agg(F.max("_until").alias("_e"))
+    # per label group one entry a range: the latest end among the ranges before
+    every = ends.groupBy(*equal).agg(F.array_sort(F.collect_list(F.struct("_range", "_e"))).alias("_all"))
+    before = F.transform("_all", lambda x, i: F.struct(x["_range"].alias("_range"), F.array_max(F.transform(
+        F.slice("_all", F.lit(1), i), lambda y: y["_e"])).alias("_carry")))
+    carry = every.select(*equal, F.inline(before))
+    line = line.join(broadcast_if_small(carry), [*equal, "_range"])
+    w = Window.partitionBy(*equal, "_range").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.greatest(F.max("_until").over(w), F.col("_carry"))
+    hit = line.withColumn("_last", last).where((F.col("_kind") == 1) & (F.col("_last") >= F.col("_from"))).select("alert_id").distinct()
     return alerts.join(broadcast_if_small(hit), "alert_id", "left_anti")

@@ -177,6 +177,16 @@ def _bucketize(df: DataFrame, order_col: str, bounds: list[float]) -> DataFrame:
     return out.withColumn(_BKT, F.coalesce(F.col(_BKT).cast("int"), F.lit(-1))).drop(tmp)
 
 
+def cut_ranges(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_BUCKET, name: str = "range") -> DataFrame:
+    """Add the number of the range of ``order_col`` (numeric) a row lies in:
+    ranges follow each other, hold about ``rows_per_range`` rows, and equal
+    values share one. Nulls are range -1."""
+    base = keep(df)
+    nb = max(1, math.ceil(base.count() / rows_per_range))
+    bounds = sorted(set(base.approxQuantile(order_col, [i / nb for i in range(1, nb)], 1.0 / (4 * nb)))) if nb > 1 else []
+    return _bucketize(base, order_col, bounds).withColumnRenamed(_BKT, name)
+
+
 def row_index(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
               descending: bool = False, name: str = "idx", **kw) -> DataFrame:
     """0-based position of each row in ``order_col`` order (values unique)."""

@@ -51,6 +51,7 @@ def test_streaming_scorer_writes_log_and_rejected(spark, tmp_path):
     from stratocast.sources.prediction_log import read_prediction_log
     from stratocast.streaming.scoring import start_scoring
     from pyspark.sql import types as T
+    import glob
     import json
     import os
 
@@ -62,19 +63,18 @@ def test_streaming_scorer_writes_log_and_rejected(spark, tmp_path):
                     overrides={"maxIter": 5})
     stream = spark.readStream.schema(schema).parquet(str(src)).withColumn("ts", F.current_timestamp())
     feats = [("x", "double"), ("c", "string"), ("Month", "int")]
-    q1, q2 = start_scoring(model, stream, feats, P.feature_record_rules("Month"), str(tmp_path / "log"),
-                           str(tmp_path / "rejected"), str(tmp_path / "ckpt"), 0.5, "1",
-                           trigger={"availableNow": True})
-    q1.awaitTermination(300)
-    q2.awaitTermination(300)
+    q = start_scoring(model, stream, feats, P.feature_record_rules("Month"), str(tmp_path / "log"),
+                      str(tmp_path / "rejected"), str(tmp_path / "ckpt"), 0.5, "1",
+                      trigger={"availableNow": True})
+    q.awaitTermination(300)
     fs = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("c", T.StringType()),
                        T.StructField("Month", T.IntegerType())])
     logged = read_prediction_log(spark, str(tmp_path / "log"), fs)
     rejected = spark.read.json(str(tmp_path / "rejected"))
     n_bad = sum(1 for r in rows if not 1 <= r[2] <= 12)
     assert logged.count() == 200 - n_bad and rejected.count() == n_bad
-    line = next(open(os.path.join(tmp_path / "log", f)).readline()
-                for f in os.listdir(tmp_path / "log") if f.endswith(".json"))
+    assert set(rejected.select("violations").first()[0]) == {"month_range"}
+    line = next(open(f).readline() for f in glob.glob(str(tmp_path / "log" / "batch=*" / "*.json")) if os.path.getsize(f))
     assert set(json.loads(line)) == {"ts", "request_id", "model_version", "threshold", "proba", "label", "features"}
 
 
@@ -98,10 +98,10 @@ def test_restart_from_checkpoint_is_exactly_once(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(str(src)).withColumn("ts", F.current_timestamp())
-        qs = start_scoring(model, stream, feats, P.feature_record_rules("Month"), str(tmp_path / "log"),
+        q = start_scoring(model, stream, feats, P.feature_record_rules("Month"), str(tmp_path / "log"),
                            str(tmp_path / "rej"), str(tmp_path / "ckpt"), 0.5, "1", trigger={"availableNow": True})
-        for q in qs:
-            q.awaitTermination(300)
+        q.awaitTermination(300)
+        assert q.exception() is None
 
     run()
     batch(100, 150)                      # new files arrive while the job is down
