@@ -7,9 +7,9 @@ tokens says the same at least as surely. A URL is matched through an inverted
 index: each rule is filed under its rarest token, so only rules filed under
 the URL's own tokens are tested.
 
-Scale: mining runs on the executors; the number of rules is bounded by the
-support and the length limit, not by the pages. Matching is one pass without a
-shuffle over a broadcast index.
+Scale: mining runs on the executors, over tokens that are mined once for all
+that occur in the same URLs; the number of rules depends on the support, not on
+the pages. Matching is one pass without a shuffle over a broadcast index.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import string
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -30,8 +29,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DEFAULT = "allow"
-SUPPORT, CONFIDENCE, LENGTH = 0.01, 0.9, 3
-TOO_COMMON = 0.95           # a token of nearly every labelled URL says nothing
+SUPPORT, CONFIDENCE = 0.01, 0.9
+MOST_RULES = 2_000_000      # more are refused, before anything reaches the driver
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,50 +80,78 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 @dataclass
 class Rules:
-    """Mined rules by their rarest token: ``(tokens, verdict, confidence, support)``."""
+    """Mined rules by their rarest token: ``(tokens, verdict, confidence, support)``.
+
+    ``alias``: tokens that occur in the very same labelled URLs stand for each
+    other; each names the one that rules are written with.
+    """
 
     index: dict[str, list[tuple[frozenset, str, float, float]]]
+    alias: dict[str, str]
 
     def judge(self, items: list[str] | None) -> tuple[str | None, str | None, float | None]:
-        """Verdict, rule (tokens joined by ``+``) and confidence of the surest
-        rule whose tokens all occur; then the better supported, the longer."""
-        have, best = set(items or ()), None
+        """Verdict, rule (the URL's tokens that fit it, joined by ``+``) and
+        confidence of the surest rule whose tokens all occur; then the better
+        supported, the longer."""
+        have, best = {}, None
+        for t in sorted(items or ()):
+            have.setdefault(self.alias.get(t, t), t)
         for t in have:
             for r in self.index.get(t, ()):
-                if r[0] <= have:
+                if r[0] <= have.keys():
                     key = (r[2], r[3], len(r[0]), r[1] == "block", sorted(r[0]))
                     best = max(best, (key, r)) if best and best[0] != key else best or (key, r)
         if best is None:
             return None, None, None
-        return best[1][1], "+".join(sorted(best[1][0])), best[1][2]
+        return best[1][1], "+".join(sorted(have[t] for t in best[1][0])), best[1][2]
+
 
+def _classes(data: DataFrame, least: float) -> tuple[dict[str, str], dict[str, int]]:
+    """Of the tokens in at least ``least`` URLs: the smallest with the very same
+    URLs, and the number of URLs of each such token. At most (tokens per URL) /
+    support tokens reach the driver."""
+    row = data.select("items", F.xxhash64("items", "label").alias("a"), F.xxhash64("label", "items").alias("b"))
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))       # noqa: E731
+    tokens = (row.select(F.explode("items").alias("t"), "a", "b").groupBy("t").agg(F.count(F.lit(1)).alias("n"), wide("a").alias("a"), wide("b").alias("b"))
+              .where(F.col("n") >= least))
+    alias, frequency, first = {}, {}, {}
+    for r in sorted(tokens.collect(), key=lambda r: r["t"]):
+        alias[r["t"]] = first.setdefault((r["n"], r["a"], r["b"]), r["t"])
+        frequency[alias[r["t"]]] = r["n"]
+    return alias, frequency
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH) -> Rules:
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> Rules:
     """Mine rules from ``items`` (distinct tokens) and ``label``; rows with a
-    null in either are ignored. An empty table gives no rules."""
-    data = labelled.select("items", "label").where("items IS NOT NULL AND label IS NOT NULL")
+    null in either are ignored. An empty table gives no rules.
+
+    Tokens of the very same URLs are mined as one: any combination of them
+    says what one says, and there would be two to the power of their number.
+    A rule is dropped if one with fewer of its tokens is at least as sure.
+    """
+    data = labelled.select(F.array_sort(F.array_distinct("items")).alias("items"), "label").where("items IS NOT NULL AND label IS NOT NULL")
     n = data.count()
     if not n:
-        return Rules({})
-    # tokens that can occur in a rule: at most (tokens per URL) / support of them
-    counted = data.select(F.explode("items").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    frequency = {r["t"]: r["n"] for r in counted.where((F.col("n") >= support * n) & (F.col("n") <= TOO_COMMON * n)).collect()}
+        return Rules({}, {})
+    alias, frequency = _classes(data, support * n)
     if not frequency:
-        return Rules({})
+        return Rules({}, {})
     vocabulary = F.array(*[F.lit(t) for t in sorted(frequency)])
     sets = data.select(F.concat(F.array_intersect("items", vocabulary), F.array(F.concat(F.lit("="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
     found = (model.associationRules
-             .where(F.element_at("consequent", 1).startswith("=") & (F.size("antecedent") <= length)
-                    & ~F.exists("antecedent", lambda t: t.startswith("=")))
-             .select("antecedent", F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").collect())
-    rules = {(frozenset(r["antecedent"]), r["label"]): (r["confidence"], r["support"]) for r in found}
+             .where(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")))
+             .select("antecedent", F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").checkpoint())
+    many = found.count()
+    if many > MOST_RULES:
+        raise ValueError(f"{many} rules: raise the support ({support}) or the confidence ({confidence})")
+    rules = sorted((len(r["antecedent"]), sorted(r["antecedent"]), r["label"], r["confidence"], r["support"]) for r in found.collect())
     index = defaultdict(list)
-    for (items, label), (conf, supp) in sorted(rules.items(), key=lambda r: (sorted(r[0][0]), r[0][1])):
-        shorter = (frozenset(c) for k in range(1, len(items)) for c in combinations(sorted(items), k))
-        if not any(rules.get((s, label), (0,))[0] >= conf for s in shorter):
-            index[min(items, key=lambda t: (frequency[t], t))].append((items, label, conf, supp))
-    return Rules(dict(index))
+    for _, items, label, conf, supp in rules:           # shorter ones first
+        have = frozenset(items)
+        if not any(r[0] < have and r[1] == label and r[2] >= conf for t in items for r in index.get(t, ())):
+            index[min(items, key=lambda t: (frequency[t], t))].append((have, label, conf, supp))
+    return Rules(dict(index), alias)
 
 
 def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

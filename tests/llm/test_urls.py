@@ -1,4 +1,7 @@
+import random
 import re
+import time
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -38,31 +41,70 @@ def test_whole_table_and_empty_table(spark):
     assert U.judge(pages.limit(0)).count() == 0
 
 
-def brute_rules(rows, support, confidence, length):
+def brute_rules(rows, support, confidence):
     """Minimal sure rules by counting every combination."""
-    from itertools import combinations
     n, sets, both = len(rows), {}, {}
     for items, label in rows:
-        for k in range(1, length + 1):
+        for k in range(1, len(items) + 1):
             for c in combinations(sorted(items), k):
                 sets[c] = sets.get(c, 0) + 1
                 both[c, label] = both.get((c, label), 0) + 1
-    common = {c[0] for c, k in sets.items() if len(c) == 1 and k > U.TOO_COMMON * n}
-    sure = {(c, label): k / sets[c] for (c, label), k in both.items() if k >= support * n and k / sets[c] >= confidence and not common & set(c)}
+    sure = {(c, label): k / sets[c] for (c, label), k in both.items() if k >= support * n and k / sets[c] >= confidence}
     return {(frozenset(c), label) for (c, label), p in sure.items()
             if not any(sure.get((s, label), 0) >= p for k in range(1, len(c)) for s in combinations(c, k))}
 
 
+def spelled_out(model):
+    """Rules with every choice of tokens that stand for each other."""
+    names = {}
+    for t, a in model.alias.items():
+        names.setdefault(a, []).append(t)
+    return {(frozenset(c), r[1]) for rules in model.index.values() for r in rules for c in product(*[names[t] for t in r[0]])}
+
+
+def mine(spark, rows, *limits):
+    return U.mine(spark.createDataFrame(rows, "items array<string>, label string"), *limits)
+
+
 def test_mined_rules_by_brute_force(spark):
     rows = [([f"a{i % 3}", f"b{i % 4}", "all", f"c{i % 5}"], "block" if i % 3 == 1 and i % 4 < 2 else "allow") for i in range(240)]
-    model = U.mine(spark.createDataFrame(rows + [(None, "allow"), (["a0"], None)], "items array<string>, label string"), 0.05, 0.9, 3)
-    got = {(r[0], r[1]) for rules in model.index.values() for r in rules}
-    assert got == brute_rules(rows, 0.05, 0.9, 3)
+    model = mine(spark, rows + [(None, "allow"), (["a0"], None)], 0.05, 0.9)
+    assert spelled_out(model) == brute_rules(rows, 0.05, 0.9)
     assert all(t in r[0] for t, rules in model.index.items() for r in rules)
     assert model.judge(["a1", "b1", "zz"])[0] == "block" and model.judge(["a2", "b1"])[0] == "allow" and model.judge(["zz"]) == (None, None, None)
     assert model.judge(None) == (None, None, None)
 
 
+def test_random_sets_with_long_rules_and_shared_tokens(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        items = {t for t in "abcdefg" if rng.random() < 0.7}
+        # x, y and z always occur together; the label needs four tokens
+        rows.append((sorted(items | (set("xyz") if "a" in items and rng.random() < 0.8 else set())), "block" if set("abcd") <= items else "allow"))
+    model = mine(spark, rows, 0.02, 0.99)
+    assert spelled_out(model) == brute_rules(rows, 0.02, 0.99)
+    assert max(len(r[0]) for rules in model.index.values() for r in rules) >= 4 and model.alias["z"] == "x"
+    for items, _ in rows[:40]:
+        fits = [(len(c), label) for c, label in brute_rules(rows, 0.02, 0.99) if c <= set(items)]
+        assert (model.judge(items)[0] is None) == (not fits)
+
+
+def test_tokens_in_nearly_all_labels_still_make_rules(spark):
+    urls = [f"http://spam{'' if i % 20 else 'less'}.com/de/{i}" for i in range(200)] + ["http://spam.net/x"]
+    got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).where("page_id = 200").first()
+    assert got.verdict == "block"
+
+
+def test_many_segments_in_common(spark):
+    deep = "/".join(f"s{k}" for k in range(40))
+    urls = [f"http://x.com/{'de' if i % 2 else 'fr'}/{deep}/{i}" if i < 20 else f"http://h{i}.org/{i}" for i in range(400)]
+    urls += [f"http://y.net/{deep}", "http://y.net/s3"]
+    t = time.time()
+    got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).orderBy("page_id").collect()
+    assert time.time() - t < 60 and len(got) == 402 and {r.verdict for r in got[-2:]} <= {"allow", "block"}
+
+
 def test_deep_path_segments_are_mined_and_matched(spark):
     urls = [f"http://{'x.com/de' if i % 2 else 'x.com/fr'}/{i % 7}a/{i % 5}b/{i % 3}c/{'casino' if i % 2 else 'news'}/{i}.html" for i in range(200)]
     urls += ["http://y.net/a/b/c/d/e/casino/x", "http://y.net/a/b/c/d/e/f/x"]
