@@ -14,7 +14,8 @@ Scale: a text without any anchor word (checked by one pattern)
 cannot be confirmed and costs no more than that. Lines of the others are
 exploded without their text; results are keyed by the text's digest, so copies
 share them. Joined lines are bounded by ``SPAN`` words, so their number grows
-with the lines.
+with the lines. Only paragraphs that hold enough of some template, by an index
+of the templates' trigrams, are classified; no other could be confirmed.
 """
 
 from __future__ import annotations
@@ -105,6 +106,20 @@ class Scanner:
     vocabulary: Column
     templates: list[tuple[str, list[str]]]
 
+    def plausible(self, paragraphs: DataFrame, text: str, name: str) -> DataFrame:
+        """Add ``name``: whether the paragraph holds enough of some template.
+
+        The paragraph's trigrams are looked up in the index of all templates'
+        trigrams; only what is found is counted per template. Whatever
+        :meth:`classify` confirms is plausible.
+        """
+        every = sorted({t for _, tri in self.templates for t in tri})
+        df = paragraphs.withColumn("_w", words(F.col(text))).withColumn("_tri", _grams(F.col("_w"), 3))
+        df = df.withColumn("_tri", F.array_intersect("_tri", F.array(*[F.lit(t) for t in every])))
+        least = min(len(tri) for _, tri in self.templates) * HELD_BACK
+        enough = reduce(lambda a, b: a | b, [_share(F.col("_tri"), F.array(*[F.lit(t) for t in tri])) >= HELD_BACK for _, tri in self.templates])
+        return df.withColumn(name, (F.size("_tri") >= least) & enough).drop("_w", "_tri")
+
     def classify(self, paragraphs: DataFrame, text: str) -> DataFrame:
         """Add ``family`` (null: unknown or none), ``score`` and ``template``
         (share of the best template of that family) to paragraphs."""
@@ -136,19 +151,20 @@ def train(documents: DataFrame, negatives: int = NEGATIVES, seed: int = 1) -> Sc
     made = (templates.select("template", "family", "w", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"))
             .select("template", "family", "variant", F.posexplode("w").alias("i", "word")).where(keep)
             .groupBy("template", "family", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("p"))
-            .select("family", "p"))
+            .select("family", "p", F.xxhash64("template", "variant").alias("deal")))
     n = documents.count()
     docs = documents.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) <= int(min(1.0, negatives / 4 / max(1, n)) * (1 << 20)))
     # up to four paragraphs of a chosen document, by hash: a bounded training sample
     lines = F.slice(F.sort_array(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("p")))), 1, 4)
     # held before the filter below: pushed down, it would evaluate the n-grams once per template
-    other = _with_grams(docs.select(F.explode(lines).alias("x")).select("x.p"), "p").select("p", "tri").checkpoint()
+    deal = F.xxhash64("doc_id", "x.h").alias("deal")
+    other = _with_grams(docs.select("doc_id", F.explode(lines).alias("x")).select("x.p", deal), "p").select("p", "deal", "tri").checkpoint()
     alike = reduce(lambda a, b: a | b, [_share(F.col("tri"), F.array(*[F.lit(t) for t in tri])) >= 0.3 for _, tri, _ in known])
-    rows = made.unionByName(other.where(~alike).select(F.lit(NONE).alias("family"), "p"))
+    rows = made.unionByName(other.where(~alike).select(F.lit(NONE).alias("family"), "p", "deal"))
     families = sorted({f for f, _, _ in known}) + [NONE]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     rows = _with_grams(rows, "p").select(label.cast("double").alias("label"), F.array_intersect("terms", vocabulary).alias("known"),
-                                         (F.pmod(F.xxhash64("p"), F.lit(10)) < 3).alias("hold")).repartition(4, "known").checkpoint()
+                                         (F.pmod(F.xxhash64("p"), F.lit(10)) < 3).alias("hold"), "deal").repartition(4, "deal").drop("deal").checkpoint()
     rows = HashingTF(numFeatures=FEATURES, inputCol="known", outputCol="_v", binary=True).transform(rows)
     lr = LogisticRegression(featuresCol="_v", labelCol="label", family="multinomial", regParam=0.001, maxIter=40,
                             probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
@@ -208,11 +224,13 @@ def scan(documents: DataFrame, scanner: Scanner) -> DataFrame:
     d = documents.select("doc_id", "text").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     lines = d.where(_has_anchor(F.col("text"))).select("key", "text").distinct().select("key", F.posexplode(F.split("text", "\n")).alias("line", "p"))
     sure = F.col("family").isNotNull()
-    one = scanner.classify(lines.withColumn("a", F.when(_has_anchor(F.col("p")), F.col("p"))), "a")
-    one = one.select("key", "line", F.col("a").isNotNull().alias("anchored"), "family", words(F.when(~sure, F.col("p"))).alias("w"))
+    lines = scanner.plausible(lines.withColumn("anchored", _has_anchor(F.col("p"))), "p", "hold")
+    one = scanner.classify(lines.withColumn("a", F.when(F.col("anchored") & F.col("hold"), F.col("p"))), "a")
+    one = one.select("key", "line", "anchored", "family", words(F.when(~sure, F.col("p"))).alias("w"))
     one = one.select("key", "line", "anchored", "family", F.size("w").alias("n"), _join(F.slice("w", 1, SPAN)).alias("head"),
                      _join(F.slice("w", F.greatest(F.size("w") - SPAN + 1, F.lit(1)), F.lit(SPAN))).alias("tail"))
-    wide = scanner.classify(_stretches(one), "p").where(sure).select("key", "line", "to", "family", "template")
+    wide = scanner.plausible(_stretches(one), "p", "hold").where("hold").drop("hold")
+    wide = scanner.classify(wide, "p").where(sure).select("key", "line", "to", "family", "template")
     rows = one.where(F.col("anchored")).select("key", "line", F.lit(None).cast("int").alias("to"), "family", F.lit(None).cast("double").alias("template")).unionByName(wide)
     alone = F.col("to").isNull()
     got = rows.groupBy("key").agg(      # a text's own lines

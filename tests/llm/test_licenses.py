@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -61,3 +63,29 @@ def test_every_share_of_a_template_has_an_anchor(spark):
 def test_empty_tables(spark, docs, scanner):
     assert L.scan(docs([]), scanner).count() == 0
     assert L.train(docs([])).families[-1] == L.NONE
+
+
+def test_only_plausible_paragraphs_are_classified_and_none_is_lost(spark, docs, scanner):
+    """Stretches of random lines against every pair of lines, each classified."""
+    rng = random.Random(4)
+    pieces = [t.split()[a:a + rng.randint(3, 12)] for _, t in L.TEMPLATES for a in (0, 5, 9) if a < len(t.split())]
+    noise = "the of licence and software to work copy a under".split()
+    texts = []
+    for _ in range(25):
+        lines = [" ".join(rng.choice(pieces) if rng.random() < 0.6 else rng.choices(noise, k=rng.randint(0, 5))) for _ in range(8)]
+        whole = rng.choice(L.TEMPLATES)[1].split()
+        cut = sorted(rng.sample(range(1, len(whole)), 2))
+        lines[3:3] = [" ".join(whole[:cut[0]]), " ".join(whole[cut[0]:cut[1]]), " ".join(whole[cut[1]:])]
+        texts.append("\n".join(lines))
+    d = docs(texts)
+    pairs = [(i, a, z, " ".join(t.split("\n")[a:z + 1])) for i, t in enumerate(texts) for a in range(11) for z in range(a, 11)]
+    every = spark.createDataFrame(pairs, "doc int, line int, to int, p string")
+    marked = scanner.plausible(scanner.classify(every, "p"), "p", "hold").collect()
+    assert all(r.hold for r in marked if r.family is not None) and sum(r.family is not None for r in marked) > 20
+    assert not all(r.hold for r in marked)
+    for r in L.scan(d, scanner).collect():
+        # each reported start is that of a confirmed stretch, and each confirmed line is reported or overlapped
+        mine = [m for m in marked if m.doc == r.doc_id and m.family is not None]
+        starts = {(int(x.split(":")[0]), x.split(":")[1]) for x in r.paragraphs.split(",") if x}
+        assert starts <= {(m.line, m.family) for m in mine} and bool(starts) == bool(mine)
+        assert {(m.line, m.family) for m in mine if m.line == m.to} <= starts
