@@ -147,33 +147,36 @@ def _deep(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = node.where("low != high OR low = 0 OR top").select("node")
     at = (deep.select("wid", "back", "depth", "node").join(node, "node").groupBy("wid", "back")
           .agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("at")))        # a word's own prefixes
-    long = deep.where("next = 0").select("wid", "back", "text", "start")
+    long = deep.where("next = 0").select("wid", "back", "text", "start", "n")
     at = at.join(long, ["wid", "back"])
     pairs = F.transform(F.slice("at", F.lit(2), F.size("at")), lambda x, i: F.struct(F.get("at", i).alias("a"), x.alias("z")))
     edge = at.select("text", F.explode(pairs).alias("x"))
     edge = edge.select(F.col("x.a.node").alias("node"), F.col("x.a.depth").alias("depth"), F.col("x.z.node").alias("to"),
                        F.substring("text", F.col("x.a.depth") + 1, F.col("x.z.depth") - F.col("x.a.depth")).alias("label"),
                        _bit(F.col("text"), F.col("x.z.depth")).alias("bit"))
-    states = at.select("text", "back", "start", F.explode("at").alias("x")).where(F.col("x.depth") >= F.col("start"))
-    return edge, states.select("text", "back", F.col("x.depth").alias("pos"), F.col("x.node").alias("node"), F.col("x.depth").alias("depth"))
+    states = at.select("text", "back", "start", "n", F.explode("at").alias("x")).where(F.col("x.depth") >= F.col("start"))
+    return edge, states.select("text", "back", F.col("x.depth").alias("pos"), F.col("x.node").alias("node"), F.col("x.depth").alias("depth"),
+                               F.when(F.col("x.depth") == F.length("text"), F.col("n")).alias("n"))
 
 
-def _tables(words: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges and states without edits, written by depth, and the words' ends."""
+def _tables(words: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and states without edits, written by depth; a state at the end of
+    its word also says how often (``n``) the word occurs."""
     spark = words.sparkSession
-    steps = words.select("word", "n").mapInArrow(_first_characters, STEP)
-    deep_edges, deep_states = _deep(steps)
+    words = words.select("word", "n")
+    steps = words.mapInArrow(_first_characters, STEP)
+    deep_edges, deep_states = _deep(words.where(F.length("word") >= DEEP).mapInArrow(_first_characters, STEP))
     edges = steps.where((F.col("depth") < DEEP) & (F.col("next") > 0)).select(
         "node", "depth", "to", _character(F.col("next")).alias("label"), "bit")
     edges = edges.unionByName(deep_edges).groupBy("node", "depth", "to", "label").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("ahead"))
     edges.write.partitionBy("depth").parquet(f"{folder}/edges")
-    states = steps.where((F.col("depth") < DEEP) & (F.col("depth") >= F.col("start"))).select("text", "back", F.col("depth").alias("pos"), "node", "depth")
+    states = steps.where((F.col("depth") < DEEP) & (F.col("depth") >= F.col("start"))).select(
+        "text", "back", F.col("depth").alias("pos"), "node", "depth", F.when(F.col("next") == 0, F.col("n")).alias("n"))
     states.unionByName(deep_states).write.partitionBy("depth").parquet(f"{folder}/states")
-    ends = steps.where("next = 0").select("node", F.col("word").alias("near"), F.col("n").alias("near_n"))
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")       # noqa: E731
     return (read("edges", "node bigint, to bigint, label string, ahead bigint, depth int"),
-            read("states", "text string, back boolean, pos int, node bigint, depth int"), ends)
+            read("states", "text string, back boolean, pos int, node bigint, n bigint, depth int"))
 
 
 def _character(code: Column) -> Column:
@@ -187,7 +190,10 @@ def neighbours(words: DataFrame) -> DataFrame:
     words are ignored."""
     spark = words.sparkSession
     words = words.where("word IS NOT NULL")
-    edges, fresh, ends = _tables(words, scratch_path(spark, f"spelling-{uuid.uuid4().hex}"))
+    edges, states = _tables(words, scratch_path(spark, f"spelling-{uuid.uuid4().hex}"))
+    whole = F.when(F.col("back"), F.reverse("text")).otherwise(F.col("text"))
+    ends = states.where("n IS NOT NULL").select("node", whole.alias("near"), F.col("n").alias("near_n"))
+    fresh = states.drop("n")
     text, pos, length = F.col("text"), F.col("pos"), F.length("text")
     label, size = F.col("label"), F.length("label")
     part = lambda at, n: F.substring(text, at + 1, n)                                       # noqa: E731
@@ -221,7 +227,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     out = done[0]
     for f in done[1:]:
         out = out.unionByName(f)
-    out = out.join(ends, "node").withColumn("word", F.when(F.col("back"), F.reverse("text")).otherwise(text))
+    out = out.join(ends, "node").withColumn("word", whole)
     half = F.floor(F.length("word") / 2).cast("int")
     # pairs that agree on the first half were found forwards
     once = ~F.col("back") | (F.substring("word", F.lit(1), half) != F.substring("near", F.lit(1), half))
