@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import is_double, nan_to_null, ratio, rnd
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, radix_quantiles
 
 
 def _present(df: DataFrame, c: str):
@@ -280,12 +280,9 @@ def class_quantiles(df: DataFrame, cols: Sequence[str], target: str, **kw) -> Da
 # A15 ------------------------------------------------------------------------
 def median_shift(df: DataFrame, cols: Sequence[str], train_flag: str, **kw) -> DataFrame:
     """Median of each column on all rows and on training rows, and their distance."""
-    scoped = df.select(*cols, F.explode(
-        F.when(F.col(train_flag), F.array(F.lit("all"), F.lit("train"))).otherwise(F.array(F.lit("all")))
-    ).alias("_scope"))
-    q = exact_quantiles(scoped, cols, [0.5], group_cols=["_scope"], **kw)
+    q = radix_quantiles(df, cols, [0.5], scopes={"all": None, "train": F.col(train_flag)}, **kw)
     out = q.groupBy("column").agg(
-        F.max(F.when(F.col("_scope") == "all", F.col("quantile"))).alias("median_all"),
-        F.max(F.when(F.col("_scope") == "train", F.col("quantile"))).alias("median_train"),
+        F.max(F.when(F.col("scope") == "all", F.col("quantile"))).alias("median_all"),
+        F.max(F.when(F.col("scope") == "train", F.col("quantile"))).alias("median_train"),
     )
     return out.withColumn("abs_diff", F.abs(F.col("median_all") - F.col("median_train")))
