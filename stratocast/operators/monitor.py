@@ -9,6 +9,7 @@ exist there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,18 +56,46 @@ def histogram(log: DataFrame, value: str = "proba", bounds: Sequence[float] = PR
     One aggregate: per group an array of bucket counts, unrolled with running
     sums over at most len(bounds) + 1 entries.
     """
+    return _cumulative(log.where(F.col(value).isNotNull()).groupBy(*group_cols).agg(*_bucket_counts(value, bounds)), bounds)
+
+
+def _bucket_counts(value: str, bounds: Sequence[float]) -> list[Column]:
     idx = _bucket_index(F.col(value), bounds)
-    nb = len(bounds) + 1
-    agg = log.where(F.col(value).isNotNull()).groupBy(*group_cols).agg(
-        *[F.count_if(idx == i).alias(f"_h{i}") for i in range(nb)])
-    keys = [c for c in agg.columns if not c.startswith("_h")]
+    return [F.count_if(idx == i).alias(f"_h{i}") for i in range(len(bounds) + 1)]
+
+
+def _cumulative(counts: DataFrame, bounds: Sequence[float]) -> DataFrame:
+    """Bucket counts ``_h0, _h1, ...`` of a row as cumulative rows."""
+    keys = [c for c in counts.columns if not c.startswith("_h")]
     entries = []
     running = F.lit(0).cast("long")
-    for i in range(nb):
+    for i in range(len(bounds) + 1):
         running = running + F.col(f"_h{i}")
         le = F.lit(float(bounds[i])) if i < len(bounds) else F.lit(None).cast("double")
         entries.append(F.struct(F.lit(i).alias("bucket"), le.alias("le"), running.alias("cum_count")))
-    return agg.select(*keys, F.inline(F.array(*entries)))
+    return counts.select(*keys, F.inline(F.array(*entries)))
+
+
+def window_sums(rows: DataFrame, width: str, slide: str | None, ts: str, by: Sequence[str], counts: Sequence[Column]) -> DataFrame:
+    """``window_start, window_end, by...`` and the named ``counts`` (aggregates
+    that can be added up) per sliding window.
+
+    Raw rows are counted once, per pane (the largest step that both width and
+    slide are made of); windows are sums of panes. On a stream (append mode)
+    these are two chained aggregations, and the state holds panes, not rows
+    times windows.
+    """
+    rows = rows.where(F.col(ts).isNotNull())
+    if slide and _seconds(slide) != _seconds(width):
+        step = math.gcd(round(_seconds(width) * 1e6), round(_seconds(slide) * 1e6))
+        panes = rows.groupBy(F.window(F.col(ts), f"{step} microseconds").alias("_pane"), *by).agg(*counts)
+        names = [c for c in panes.columns if c not in ("_pane", *by)]
+        panes = panes.select(F.window_time("_pane").alias("_at"), *by, *names)
+        out = panes.groupBy(F.window("_at", width, slide).alias("_w"), *by).agg(*[F.sum(c).alias(c) for c in names])
+    else:
+        out = rows.groupBy(F.window(F.col(ts), width).alias("_w"), *by).agg(*counts)
+    names = [c for c in out.columns if c not in ("_w", *by)]
+    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, *names)
 
 
 # O3 -------------------------------------------------------------------------
@@ -116,22 +145,16 @@ def histogram_quantile(hist: DataFrame, q: float, group_cols: Sequence[str] = ()
 def sliding_rate(log: DataFrame, width: str = "5 minutes", slide: str | None = "1 minute",
                  by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Events per second in sliding (or tumbling, slide None) windows, per label."""
-    win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    out = log.where(F.col(ts).isNotNull()).groupBy(win.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n",
-                      (F.col("n") / F.lit(_seconds(width))).alias("rate"))
+    out = window_sums(log, width, slide, ts, by, [F.count(F.lit(1)).alias("n")])
+    return out.withColumn("rate", F.col("n") / F.lit(_seconds(width)))
 
 
 # O5 -------------------------------------------------------------------------
 def error_share(requests: DataFrame, is_error: Column, width: str = "5 minutes", slide: str | None = "1 minute",
                 ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """Errors over all requests per window; 0 without errors, denominator floored at 1."""
-    win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    out = requests.where(F.col(ts).isNotNull()).groupBy(win.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"),
-                                                    F.count_if(is_error).alias("n_error"))
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
-                      "n", "n_error",
-                      (F.col("n_error") / F.greatest(F.col("n"), F.lit(1)).cast("double")).alias("share"))
+    out = window_sums(requests, width, slide, ts, by, [F.count(F.lit(1)).alias("n"), F.count_if(is_error).alias("n_error")])
+    return out.withColumn("share", F.col("n_error") / F.greatest(F.col("n"), F.lit(1)).cast("double"))
 
 
 # O6 -------------------------------------------------------------------------
@@ -139,11 +162,14 @@ def latency_quantiles(requests: DataFrame, value: str, width: str = "5 minutes",
                       bounds: Sequence[float] = LATENCY_BOUNDS, qs: Sequence[float] = (0.5, 0.95, 0.99),
                       ts: str = "ts") -> DataFrame:
     """p50 / p95 / p99 per window from the bucketed histogram of each window."""
-    win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    src = requests.where(F.col(ts).isNotNull()).select(win.alias("w"), F.col(value))
-    src = src.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), value)
-    hist = histogram(src, value, bounds, ["window_start", "window_end"])
-    return histogram_quantiles(hist, qs, ["window_start", "window_end"])
+    return histogram_quantiles(window_histograms(requests, value, width, slide, bounds, ts), qs, ["window_start", "window_end"])
+
+
+def window_histograms(requests: DataFrame, value: str, width: str = "5 minutes", slide: str | None = "1 minute",
+                      bounds: Sequence[float] = LATENCY_BOUNDS, ts: str = "ts") -> DataFrame:
+    """Cumulative bucket counts of ``value`` per window (nulls left out)."""
+    known = requests.where(F.col(value).isNotNull())
+    return _cumulative(window_sums(known, width, slide, ts, (), _bucket_counts(value, bounds)), bounds)
 
 
 # O7 -------------------------------------------------------------------------

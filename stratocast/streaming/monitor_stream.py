@@ -82,11 +82,7 @@ def latency_histogram_stream(stream: DataFrame, value: str, width: str = "5 minu
     the emitted rows (a batch, or a micro-batch in ``foreachBatch``) into
     p50 / p95 / p99.
     """
-    s = with_event_time(stream, ts, delay, dedup_key)
-    win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    src = s.select(win.alias("w"), F.col(value))
-    return O.histogram(src, value, bounds, ["w"]).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "bucket", "le", "cum_count")
+    return O.window_histograms(with_event_time(stream, ts, delay, dedup_key), value, width, slide, bounds, ts)
 
 
 def proba_histogram_stream(stream: DataFrame, value: str = "proba", width: str = "5 minutes",
