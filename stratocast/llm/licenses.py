@@ -83,10 +83,17 @@ def _has_anchor(text: Column) -> Column:
     return text.rlike(rf"(?i){'|'.join(ANCHORS)}|(?<![a-z0-9])(?:{'|'.join(SHORT_ANCHORS)})(?![a-z0-9])")
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row. A filter or a later column
+    that uses a plain one gets its whole expression in its place, several times
+    over; nothing is moved below a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _with_grams(paragraphs: DataFrame, text: str) -> DataFrame:
     """Add ``w`` (words), ``terms`` (distinct words and pairs) and ``tri``."""
-    df = paragraphs.withColumn("w", words(F.col(text)))
-    return df.withColumn("terms", F.array_distinct(F.concat("w", _grams(F.col("w"), 2)))).withColumn("tri", F.array_distinct(_grams(F.col("w"), 3)))
+    df = _once(paragraphs, w=words(F.col(text)))
+    return _once(df, terms=F.array_distinct(F.concat("w", _grams(F.col("w"), 2))), tri=F.array_distinct(_grams(F.col("w"), 3)))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -114,29 +121,30 @@ class Scanner:
         :meth:`classify` confirms is plausible.
         """
         every = sorted({t for _, tri in self.templates for t in tri})
-        df = paragraphs.withColumn("_w", words(F.col(text))).withColumn("_tri", _grams(F.col("_w"), 3))
-        df = df.withColumn("_tri", F.array_intersect("_tri", F.array(*[F.lit(t) for t in every])))
+        df = _once(paragraphs, _w=words(F.col(text)))
+        df = _once(df, _tri=F.array_intersect(_grams(F.col("_w"), 3), F.array(*[F.lit(t) for t in every])))
         least = min(len(tri) for _, tri in self.templates) * HELD_BACK
         enough = reduce(lambda a, b: a | b, [_share(F.col("_tri"), F.array(*[F.lit(t) for t in tri])) >= HELD_BACK for _, tri in self.templates])
-        return df.withColumn(name, (F.size("_tri") >= least) & enough).drop("_w", "_tri")
+        return _once(df, **{name: F.when(F.size("_tri") >= least, enough).otherwise(False)}).drop("_w", "_tri")
 
     def classify(self, paragraphs: DataFrame, text: str) -> DataFrame:
         """Add ``family`` (null: unknown or none), ``score`` and ``template``
         (share of the best template of that family) to paragraphs."""
         df = _with_grams(paragraphs, text)
-        df = df.withColumn("known", F.array_intersect("terms", self.vocabulary))
+        df = _once(df, known=F.array_intersect("terms", self.vocabulary))
         df = HashingTF(numFeatures=FEATURES, inputCol="known", outputCol="_v", binary=True).transform(df)
         df = self.model.transform(df)
         p = vector_to_array("_probability")
-        df = df.withColumn("_p", p).withColumn("score", F.array_max("_p")).withColumn("_k", (F.array_position("_p", F.col("score")) - 1).cast("int"))
+        df = _once(df, _p=p)
+        df = _once(df, score=F.array_max("_p")).withColumn("_k", (F.array_position("_p", F.col("score")) - 1).cast("int"))
         names, need = F.array(*[F.lit(f) for f in self.families]), F.array(*[F.lit(t) for t in self.thresholds])
         guess = F.get(names, F.col("_k"))
         best = F.lit(0.0)
         for f, tri in self.templates:
             best = F.greatest(best, F.when(guess == f, _share(F.col("tri"), F.array(*[F.lit(t) for t in tri]))).otherwise(0.0))
-        df = df.withColumn("template", best)
+        df = _once(df, template=best)
         sure = (guess != NONE) & (F.col("score") >= F.get(need, F.col("_k"))) & (F.col("template") >= HELD_BACK)
-        return df.withColumn("family", F.when(sure, guess)).drop("w", "terms", "tri", "known", "_v", "_raw", "_probability", "_prediction", "_p", "_k")
+        return _once(df, family=F.when(sure, guess)).drop("w", "terms", "tri", "known", "_v", "_raw", "_probability", "_prediction", "_p", "_k")
 
 
 def train(documents: DataFrame, negatives: int = NEGATIVES, seed: int = 1) -> Scanner:
