@@ -3,9 +3,12 @@ current = lines shipped from 1998 on, tracked = the four measurements and two fl
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import drift as R
+from ..session import scratch_path
 from . import standins as S
 from .catalog import OBS, query, r6
 
@@ -180,12 +183,21 @@ def q_separating_interval(spark, sf_dir):
 
 
 # S2 --------------------------------------------------------------------------
-@query("load_reference", "SELECT least(5000, count(*)) AS n_rows, 9 AS n_cols FROM lineitem")
+_REF_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_TRACKED = [*NUM, *CAT, "l_shipdate", "l_suppkey", "l_partkey"]
+
+
+@query("load_reference", f"""
+WITH r AS (SELECT {", ".join(_TRACKED)} FROM lineitem ORDER BY {S.LINE_RANK_SQL}, {", ".join(_REF_KEY)} LIMIT 500)
+SELECT b AS branch, r.* FROM r, (VALUES ('sample'), ('frozen')) v(b)""")
 def q_load_reference(spark, sf_dir):
+    """Both ways to a reference: the sample of a table without a frozen one, and
+    the frozen one read back."""
     from ..sources import table
-    from ..sources.observations import load_reference
+    from ..sources.observations import freeze_reference, load_reference
+    path = scratch_path(spark, f"reference-{uuid.uuid4().hex}")
     li = table(spark, sf_dir, "lineitem")
-    tracked = [*NUM, *CAT, "l_shipdate", "l_suppkey", "l_partkey"]
-    ref = load_reference(spark, f"{sf_dir}/no-frozen-reference", li, n=5000, seed=42, tracked=tracked,
-                         key_cols=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return ref.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(ref.columns)))
+    rows = load_reference(spark, path, li, n=500, tracked=_TRACKED, key_cols=_REF_KEY, rank=S.line_rank())
+    sample = rows.select(F.lit("sample").alias("branch"), "*")
+    freeze_reference(rows, path)
+    return sample.unionByName(load_reference(spark, path, li.limit(0), n=500).select(F.lit("frozen").alias("branch"), "*"))

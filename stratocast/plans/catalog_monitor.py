@@ -17,7 +17,7 @@ from ..operators import monitor as O
 from ..session import scratch_path
 from ..sources import table, utc_to_ntz
 from ..sources.observations import parse_text_columns, read_observations
-from ..sources.prediction_log import log_records, read_prediction_log, write_prediction_log
+from ..sources.prediction_log import log_records, parse_log_lines, read_prediction_log, write_prediction_log
 from . import standins as S
 from .catalog import query, r6
 
@@ -259,21 +259,20 @@ def q_prediction_log_roundtrip(spark, sf_dir):
 
 
 @query("parse_log_lines", """
-SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+SELECT CASE WHEN event_type = 'purchase' THEN NULL ELSE event_id END AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS absent
 FROM events WHERE event_type NOT IN ('error', 'signup')""")
 def q_parse_log_lines(spark, sf_dir):
-    from ..sources.prediction_log import log_schema
+    """Log lines by rule: cut, without features, with a badly typed field, whole."""
     ev = table(spark, sf_dir, "events")
-    good = F.concat(F.lit('{"request_id": "'), F.col("event_id").cast("string"), F.lit('", "features": '),
-                    F.col("props"), F.lit("}"))
-    line = (F.when(F.col("event_type") == "error", F.substring(good, 1, 20))       # cut line
-             .when(F.col("event_type") == "signup",
-                   F.concat(F.lit('{"request_id": "'), F.col("event_id").cast("string"), F.lit('"}')))  # no features
-             .otherwise(good))
-    feats = T.StructType([T.StructField("k", T.LongType())])
-    rec = F.from_json(F.col("value"), log_schema(feats), {"mode": "PERMISSIVE"})
-    parsed = ev.select(line.alias("value")).select(rec.alias("r")).select("r.*")
-    return parsed.where(F.col("features").isNotNull()).select("request_id", "features.k")
+    given = F.when(F.col("event_type") == "purchase", F.lit("none")).otherwise(F.col("event_id").cast("string"))
+    record = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.struct(
+        given.alias("id"), F.get_json_object("props", "$.k").alias("k")).alias("features")))
+    whole = F.regexp_replace(record, '"(k|id)":"([0-9]+)"', '"$1":$2')
+    line = (F.when(F.col("event_type") == "error", F.substring(whole, F.lit(1), F.length(whole) - 2))
+             .when(F.col("event_type") == "signup", F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"))))
+             .otherwise(whole))
+    feats = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.LongType())])
+    return parse_log_lines(ev.select(line.alias("value")), feats, ["id", "k", "absent"])
 
 
 # Q1-Q3 ----------------------------------------------------------------------

@@ -1,12 +1,15 @@
-"""Registered sampling, preparation and model queries (D1-D2, F1-F7, M1-M8, M11)."""
+"""Registered sampling, preparation and model queries (D1-D2, F1-F7, M1-M11)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import rows as P
 from ..operators import sampling as D
+from ..session import scratch_path
 from ..sources import table
 from . import models as M
 from . import prepare as FP
@@ -44,11 +47,12 @@ def q_stratified_split(spark, sf_dir):
 
 
 # D2 -------------------------------------------------------------------------
-@query("sample_exact", "SELECT least(1000, count(*)) AS n_rows FROM lineitem")
+@query("sample_exact", f"""
+SELECT {", ".join(LI_KEY)}, l_quantity FROM lineitem ORDER BY {S.LINE_RANK_SQL}, {", ".join(LI_KEY)} LIMIT 1000""")
 def q_sample_exact(spark, sf_dir):
+    """The chosen rows themselves, by a rank that the oracle computes too."""
     li = table(spark, sf_dir, "lineitem")
-    s = D.sample_exact(li, 1000, seed=7, key_cols=LI_KEY)
-    return s.agg(F.count(F.lit(1)).alias("n_rows"))
+    return D.sample_exact(li, 1000, seed=7, key_cols=LI_KEY, rank=S.line_rank()).select(*LI_KEY, "l_quantity")
 
 
 # F1 + F2 --------------------------------------------------------------------
@@ -120,7 +124,13 @@ def q_one_hot(spark, sf_dir):
 
 
 # F6 -------------------------------------------------------------------------
-@query("feature_names")
+_SLOTS = [*[(i, f"'{c}'", None) for i, c in enumerate(NUM)], *[(len(NUM) + i, f"'{c}_' || CAST({c} AS VARCHAR)", c) for i, c in enumerate([*CAT, "month"])]]
+
+
+@query("feature_names", OBS.rstrip() + f""",
+tr AS (SELECT *, month(l_shipdate) AS month FROM obs WHERE target_flag IS NOT NULL AND {TRAIN_RULE}),
+names AS ({" UNION ALL ".join(f"SELECT DISTINCT {i} AS part, {name} AS name FROM tr" + (f" WHERE {c} IS NOT NULL" if c else "") for i, name, c in _SLOTS)})
+SELECT CAST(row_number() OVER (ORDER BY part, name) - 1 AS INTEGER) AS slot, name FROM names""")
 def q_feature_names(spark, sf_dir):
     tr = _train(spark, sf_dir)
     model = FP.fit_preprocessor(tr, NUM, CAT + ["month"])
@@ -199,3 +209,30 @@ def q_feature_lists(spark, sf_dir):
     return counts.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("name"), F.lit(kind).alias("kind"), F.lit(i).alias("position"), F.col(f"n_{c}").alias("n_values"),
                  F.col(f"d_{c}").alias("n_distinct")) for c, kind, i in listed])))
+
+
+# M9 + M10 -------------------------------------------------------------------
+_GATE = 0.55
+
+
+@query("registry", S.with_ctes(S.SCORED_SQL).rstrip() + f""",
+r AS (SELECT i AS version, CAST(count_if(label = 1 AND score >= t) AS DOUBLE) / CAST(count_if(label = 1) AS BIGINT) AS recall
+      FROM (VALUES (1, 0.5), (2, 0.3), (3, 0.8), (4, 0.4), (5, 0.9)) v(i, t), scored GROUP BY i)
+SELECT CAST(version AS BIGINT) AS version, round(recall, 6) AS recall, recall >= {_GATE} AS promoted,
+       version = (SELECT max(version) FROM r WHERE recall >= {_GATE}) AS champion, 'v' || version AS run FROM r""")
+def q_registry(spark, sf_dir):
+    """A model registered with the recall of five thresholds: those over the
+    gate move the alias, the last of them keeps it; each run is logged."""
+    from ..operators import evaluate as V
+    root = scratch_path(spark, f"registry-{uuid.uuid4().hex}")
+    scored = S.scored(spark, sf_dir)
+    model = FP.fit_preprocessor(_train(spark, sf_dir), NUM, CAT)
+    for i, t in enumerate((0.5, 0.3, 0.8, 0.4, 0.9), 1):
+        recall = V.scores_at(scored, "label", "score", t).first()["recall"]
+        M.log_run(spark, f"{root}/runs", {"run_id": f"v{i}", "model": "threshold", "params": {"t": t}, "metrics": {"recall": recall}})
+        M.register(spark, model, root, "rain", recall, gate=_GATE)
+    champion = M.resolve_alias(spark, root, "rain")
+    runs = spark.read.schema("run_id string, metrics string").json(f"{root}/runs")
+    logged = F.get_json_object("metrics", "$.recall").cast("double")
+    found = M.versions(spark, root, "rain").join(runs.select(F.col("run_id").alias("run"), logged.alias("logged")), F.col("recall") == F.col("logged"))
+    return r6(found.select("version", "recall", F.col("alias").isNotNull().alias("promoted"), (F.col("path") == F.lit(champion)).alias("champion"), "run"), ["recall"])

@@ -58,6 +58,18 @@ obs AS (
          WHEN l_returnflag = 'R' THEN 'Yes' ELSE 'No' END AS target_flag
   FROM lineitem)"""
 
+# a rank of the lines that Spark and the oracle compute alike: a linear
+# combination of the key, spread over 63 bits by a multiplication
+LINE_RANK_SQL = """CAST((CAST(l_orderkey * 1000003 + l_linenumber * 7919 + l_partkey * 31 + l_suppkey AS HUGEINT)
+       * 6364136223846793005) % 9223372036854775808 AS BIGINT)"""
+
+
+def line_rank():
+    k = F.col("l_orderkey") * 1000003 + F.col("l_linenumber") * 7919 + F.col("l_partkey") * 31 + F.col("l_suppkey")
+    wide = k.cast("decimal(18,0)") * F.lit("6364136223846793005").cast("decimal(19,0)")
+    return F.pmod(wide, F.lit("9223372036854775808").cast("decimal(19,0)")).cast("bigint")
+
+
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

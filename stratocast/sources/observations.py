@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,7 +88,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def load_reference(spark: SparkSession, path: str, fallback: DataFrame | None = None, n: int = 5000,
                    seed: int = 42, tracked: Sequence[str] = DRIFT_TRACKED,
-                   key_cols: Sequence[str] | None = None) -> DataFrame:
+                   key_cols: Sequence[str] | None = None, rank: Column | None = None) -> DataFrame:
     """The frozen reference snapshot if it exists, else an exact seeded sample
     of the tracked columns present in ``fallback`` (written back by
     :func:`freeze_reference` to keep comparisons stable over time)."""
@@ -98,7 +98,7 @@ def load_reference(spark: SparkSession, path: str, fallback: DataFrame | None =
         raise FileNotFoundError(path)
     from ..operators.sampling import sample_exact
     cols = [c for c in tracked if c in fallback.columns]
-    return sample_exact(fallback, n, seed, key_cols=key_cols).select(*cols)
+    return sample_exact(fallback, n, seed, key_cols=key_cols, rank=rank).select(*cols)
 
 
 def freeze_reference(reference: DataFrame, path: str) -> None:
