@@ -30,6 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 250_000
+# The driver and the plan hold one bound a bucket; beyond this many buckets
+# these grow instead, and their tasks sort with spill.
+MAX_BUCKETS = 20_000
 # A side of at most this many rows is broadcast; above it AQE picks the join.
 BROADCAST_ROWS = 1_000_000
 
@@ -123,7 +126,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     if totals is not None:
         totals["n"] = n
         totals.update({c: row[f"_t_{c}"] for c in sum_cols})
-    nb = max(1, math.ceil(n / rows_per_bucket))
+    nb = max(1, min(MAX_BUCKETS, math.ceil(n / rows_per_bucket)))
     probs = [i / nb for i in range(1, nb)]
     bounds = sorted(set(base.approxQuantile(order_col, probs, 1.0 / (4 * nb)))) if probs else []
     bucketed = _bucketize(base, order_col, bounds)
@@ -182,7 +185,7 @@ def cut_ranges(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_BUC
     ranges follow each other, hold about ``rows_per_range`` rows, and equal
     values share one. Nulls are range -1."""
     base = keep(df)
-    nb = max(1, math.ceil(base.count() / rows_per_range))
+    nb = max(1, min(MAX_BUCKETS, math.ceil(base.count() / rows_per_range)))
     bounds = sorted(set(base.approxQuantile(order_col, [i / nb for i in range(1, nb)], 1.0 / (4 * nb)))) if nb > 1 else []
     return _bucketize(base, order_col, bounds).withColumnRenamed(_BKT, name)
 

@@ -125,3 +125,35 @@ def test_null_series_keep_their_alerts(spark):
     for kw in ({}, BUCKETED):
         got = {r["s"]: r["n_samples"] for r in O.sustained_alerts(df, F.col("v") > 0, 300, 60, ["s"], **kw).collect()}
         assert got == {None: 20, "a": 20}
+
+
+def test_windows_are_sums_of_panes_and_rows_are_not_doubled(spark):
+    from stratocast.streaming import monitor_stream as MS
+    log = spark.range(10).select(F.timestamp_seconds(F.col("id") * 40).alias("ts"), (F.col("id") % 2 == 0).alias("e"), (F.col("id") / 10).alias("x"))
+    for df in (O.sliding_rate(log), O.error_share(log, F.col("e")), O.latency_quantiles(log, "x")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # below the expansion to windows stands an aggregate: it sees panes
+        assert plan.count("Expand") == 1 and "Aggregate" in plan[plan.index("Expand"):]
+    # any width and step, the step no divisor of the width
+    got = {(r.window_start, r.n) for r in O.sliding_rate(log, "5 minutes", "2 minutes").collect()}
+    want = {(r.s, r["count"]) for r in log.groupBy(F.window("ts", "5 minutes", "2 minutes").start.alias("s")).count().collect()}
+    assert got == want and len(got) > 3
+    assert MS is not None
+
+
+def test_inhibition_is_split_in_time(spark):
+    import random
+    rng = random.Random(2)
+    start = lambda: rng.randrange(0, 100_000)        # noqa: E731
+    rows = [(f"a{i}", rng.choice(["Down", "Slow"]), "warning", "api", s := start(), s + rng.randrange(1, 60) if rng.random() < 0.95 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "alert_id string, alertname string, severity string, job string, s int, e int")
+    df = df.select("alert_id", "alertname", "severity", "job", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"))
+    out = O.inhibit_alerts(df, "Down", rows_per_range=20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    import re
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan)
+    assert windows and all("_range" in w for w in windows)
+    big = 10 ** 9
+    src = [(s, e or big) for _, n, _, _, s, e in rows if n == "Down"]
+    want = {i for i, n, _, _, s, e in rows if n == "Down" or not any(a <= (e or big) and b >= s for a, b in src)}
+    assert {r.alert_id for r in out.collect()} == want and 0 < len(want) < 400
