@@ -61,7 +61,10 @@ def sustained_sessions_stream(samples: DataFrame, predicate: Column, hold_second
     A false or a missing sample ends the session (samples must be regular);
     closed sessions at least ``hold_seconds`` long are alerts.
     """
-    s = ntz_to_utc(samples, [ts]).withWatermark(ts, delay).where(predicate)
+    # names the time column, or Spark would filter below the watermark and
+    # time would stand still while no sample is true
+    true = F.coalesce(F.when(F.col(ts).isNull(), F.lit(False)), predicate)
+    s = ntz_to_utc(samples, [ts]).withWatermark(ts, delay).where(true)
     gap = f"{int(step_seconds * 1.5)} seconds"
     g = s.groupBy(*series_cols, F.session_window(F.col(ts), gap).alias("sess")).agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n_samples"))
