@@ -199,10 +199,18 @@ def neighbours(words: DataFrame) -> DataFrame:
     part = lambda at, n: F.substring(text, at + 1, n)                                       # noqa: E731
     mine, after, c, tail = part(pos, F.lit(1)), part(pos + 1, F.lit(1)), F.substring("label", 1, 1), F.substring(label, F.lit(2), size)
 
-    def move(fits: Column, to: Column) -> Column:
+    def move(fits: Column, to: Column, bit: Column | None = None) -> Column:
         """The state at position ``to`` if what remains may lie below the edge."""
-        return F.when(fits & (F.getbit("ahead", _bit(text, to)) == 1), to)
-
+        return F.when(fits & (F.getbit("ahead", _bit(text, to) if bit is None else bit) == 1), to)
+
+    # an edge of one character: the three signatures in question are computed once a state, not once an edge
+    bits = [F.shiftright("bits", 8 * i).bitwiseAND(F.lit(63)) for i in range(3)]
+    packed = _bit(text, pos) + F.shiftleft(_bit(text, pos + 1), 8) + F.shiftleft(_bit(text, pos + 2), 16)
+    plain = F.array(
+        move((F.col("edits") == 1) & (c == mine), pos + 1, bits[1]),
+        move((F.col("edits") == 0) & (c != mine) & (pos < length), pos + 1, bits[1]),
+        move((F.col("edits") == 0) & (c != mine), pos, bits[0]),
+        move((F.col("edits") == 0) & (c != mine) & (pos + 1 < length) & (c == after), pos + 2, bits[2]))
     moves = F.array(
         move((F.col("edits") == 1) & (label == part(pos, size)), pos + size),
         move((F.col("edits") == 0) & (c != mine) & (pos < length) & (tail == part(pos + 1, size - 1)), pos + size),           # replaced
@@ -217,8 +225,10 @@ def neighbours(words: DataFrame) -> DataFrame:
         if waiting is not None:
             now = now.unionByName(waiting.where(F.col("depth") == d).withColumn("edits", F.lit(1)))
         level = edges.where(F.col("depth") == d).select("node", "to", "label", "ahead")
+        if d < DEEP:
+            now = now.withColumn("bits", packed)
         met = now.drop("depth").join(level, "node")
-        moved = met.where((F.col("edits") == 0) | (c == mine)).select("text", "back", "to", (F.lit(d) + size).alias("depth"), F.explode(F.array_compact(moves)).alias("pos"))
+        moved = met.where((F.col("edits") == 0) | (c == mine)).select("text", "back", "to", (F.lit(d) + size).alias("depth"), F.explode(F.array_compact(plain if d < DEEP else moves)).alias("pos"))
         moved = moved.select("text", "back", "pos", F.col("to").alias("node"), "depth")
         later = waiting.where(F.col("depth") > d) if waiting is not None and d >= DEEP else None
         waiting = (moved if later is None else moved.unionByName(later)).checkpoint()
