@@ -141,8 +141,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, some of them
     misspelt by rule."""
-    found = spelling.letter_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = found.where(F.length("word") >= spelling.LEAST_LENGTH)         # a deletion only shortens
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spelling.letter_runs(docs, spelling.LEAST_LENGTH, counted=True)        # a deletion only shortens
     return spelling.variants(spelling.vocabulary(spelling.misspell(found)))
 
 

@@ -21,23 +21,26 @@ edit is a pair of neighbours. Each edge takes part in one join only.
 Nodes are named by 64-bit hashes of their prefix; a chance agreement can only
 add a pair, and each pair is confirmed on the words.
 
-Scale: words are counted per task before the shuffle, so a frequent word is
-one row a task. All else works on distinct words. Tables that later steps read
+Scale: words are counted per text, then per task before the shuffle, so a
+frequent word is one row a task. All else works on distinct words. Tables that later steps read
 again are written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-import string
+import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocast.session import ensure_checkpoint_dir, scratch_path
 
@@ -49,13 +52,37 @@ DEEP = 40                # from here on an edge carries all characters up to the
 AHEAD = 16               # characters behind an edge that its signature covers
 
 
-def letter_runs(documents: DataFrame) -> DataFrame:
-    """``doc_id, word``: every maximal run of letters (``LETTERS``) of every
-    text, A-Z lower-cased. Null and empty texts have none."""
-    runs = documents.select("doc_id", F.explode(F.split("text", f"[^{LETTERS}]+")).alias("run")).where("run != ''")
-    plain = F.octet_length("run") == F.length("run")
-    low = F.when(plain, F.lower("run")).otherwise(F.translate("run", string.ascii_uppercase, string.ascii_lowercase))
-    return runs.select("doc_id", low.alias("word"))
+def letter_runs(documents: DataFrame, least_length: int = 1, counted: bool = False) -> DataFrame:
+    """``doc_id, word``: every maximal run of letters (``LETTERS``) of at least
+    ``least_length`` code points of every text, A-Z lower-cased. Null and empty
+    texts have none. ``counted``: one row a different word of a row, and how
+    often (``n``) it occurs there."""
+    schema = T.StructType([documents.schema["doc_id"], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    texts = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    runs = texts.mapInArrow(partial(_count_runs, least_length), schema)
+    return runs if counted else runs.select("doc_id", "word", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
+
+
+def _count_runs(least_length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, counted; bytes are lowered before they are read
+    as text, which changes A-Z only."""
+    find = re.compile(f"[{LETTERS}]{{{max(1, least_length)},}}").findall
+    for b in batches:
+        ids, owner, words, n = b.column("doc_id"), [], [], []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int32())), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["doc_id", "word", "n"])
+
+        for i, text in enumerate(b.column("text")):
+            found = Counter(find(text.as_py().lower().decode("utf-8", "replace")))
+            owner += [i] * len(found)
+            words += found.keys()
+            n += found.values()
+            if len(words) >= SLICE // 16:
+                yield rows()
+                owner, words, n = [], [], []
+        if words:
+            yield rows()
 
 
 def misspell(words: DataFrame, every: int = 97) -> DataFrame:
@@ -65,12 +92,17 @@ def misspell(words: DataFrame, every: int = 97) -> DataFrame:
     h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")).cast("binary"))
     cut = F.pmod(F.col("_h"), F.length("word").cast("long")).cast("int")
     less = F.concat(F.substring("word", F.lit(1), cut), F.substring("word", cut + 2, F.length("word")))
-    return words.withColumn("_h", h).withColumn("word", F.when(F.col("_h") % every == 0, less).otherwise(F.col("word"))).drop("_h")
+    # a filter on the result stays above the generator: no checksum is computed twice
+    made = F.explode(F.array(F.when(F.col("_h") % every == 0, less).otherwise(F.col("word")))).alias("_made")
+    out = words.withColumn("_h", h).select(*words.columns, made)
+    return out.select(*[F.col("_made").alias("word") if c == "word" else F.col(c) for c in words.columns])
 
 
 def vocabulary(words: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
-    """``word, n`` of the words that are long and frequent enough; null words are ignored."""
-    return (words.where(F.length("word") >= least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """``word, n`` of the words that are long and frequent enough; null words
+    are ignored. A column ``n`` says for how many occurrences a row stands (else one)."""
+    n = F.sum("n") if "n" in words.columns else F.count(F.lit(1))
+    return (words.where(F.length("word") >= least_length).groupBy("word").agg(n.alias("n"))
             .where(F.col("n") >= least_count))
 
 

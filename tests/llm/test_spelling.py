@@ -112,3 +112,14 @@ def test_no_pairs_within_a_group(spark):
     plan = spelling.neighbours(spark.range(5).select(F.concat(F.lit("word"), "id").alias("word"), "id")
                                .withColumnRenamed("id", "n"))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_words_of_a_text_are_counted_before_they_are_rows(spark, docs):        # noqa: F811
+    d = docs(["word " * 5000 + "WORD wordy wor", "word", None, "Été été"])
+    got = spelling.letter_runs(d, 4, counted=True)
+    assert sorted(map(tuple, got.collect())) == [(0, "word", 5001), (0, "wordy", 1), (1, "word", 1)]
+    found = spelling.vocabulary(spelling.misspell(got), 4, 1)
+    plain = spelling.vocabulary(spelling.misspell(spelling.letter_runs(d)), 4, 1)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    # the checksum of a word is in the plan once, not in a pushed-down filter too
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("crc32(") == 1
