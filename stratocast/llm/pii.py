@@ -6,7 +6,7 @@ ML's boosted trees, trained here, score them from format and context; the
 trees become column expressions, and a proposal is taken when its score
 reaches the threshold calibrated for its kind.
 
-Training needs no labels: in a bounded sample of documents, base spans and
+Training needs no labels and reads all documents: base spans and
 rewritten forms of them (without ``+``, with ``[at]``, dotted ...) are
 positive. Negative are base spans proposed as the wrong kind, spoilt copies of
 them, and proposals outside base spans that fail their kind's format or follow
@@ -15,7 +15,8 @@ spans may be personal data: they have no label, in fit and calibration alike.
 A held-out part sets, per kind, the lowest threshold at which the precision
 reaches ``PRECISION``.
 
-Scale: one pass without a shuffle. Spans live in arrays inside their row, so
+Scale: one pass without a shuffle to train (but for counts of equal
+proposals) and one to find. Spans live in arrays inside their row, so
 no row key is needed and repeated ids cannot mix; every pattern is linear in
 the text (possessive runs that start only at a run's border).
 """
@@ -35,7 +36,7 @@ from stratocast.llm.spans import add_spans, markable
 from stratocast.session import ensure_checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000        # documents in the training sample (expected)
+TRAINING_PARTS = 16
 ROUNDS, DEPTH = 12, 3
 PRECISION = 0.98
 CONTEXT = 24
@@ -178,7 +179,7 @@ def _spoilt(kind: str, value: Column, before: Column) -> tuple[Column, Column]:
 
 
 def _training_rows(found: DataFrame) -> DataFrame:
-    """``kind, value, before, after, label`` from a sample of documents."""
+    """``kind, value, before, after, label`` of all found documents."""
     parts = []
     wrong = {"card": 3, "phone": 2}
     for i, k in enumerate(KINDS):
@@ -227,27 +228,30 @@ def _parse(lines: list[str]) -> object:
     return int(m[1]), float(m[2]), low, _parse(lines)
 
 
-def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 1) -> Model | None:
-    """Fit on about ``sample_docs`` documents (column ``text``) chosen by a
-    hash of id and text. None when the sample lacks either class."""
+def train(documents: DataFrame, seed: int = 1) -> Model | None:
+    """Fit on all ``documents`` (column ``text``); None when they lack either class.
+
+    Proposals with the same features, label and part are one row with their
+    number as its weight, so the learner's table grows with the kinds of
+    proposals, not with their copies.
+    """
     ensure_checkpoint_dir(documents.sparkSession)
-    n = documents.count()
-    share = min(1.0, sample_docs / max(1, n))
-    row = [c for c in ("doc_id", "text") if c in documents.columns]
-    chosen = documents.where(F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    rows = _training_rows(_found(chosen).checkpoint())
+    found = _found(documents.select("text")).select("base", *[f"b_{k}" for k in KINDS], *[f"g_{g}" for g in GENERATORS])
+    rows = _training_rows(found.checkpoint())
     rows = rows.select("kind", "label", F.array(*features(F.col("kind"), F.col("value"), F.col("before"), F.col("after"))).alias("x"),
                        (F.pmod(F.xxhash64("kind", "value", "before"), F.lit(10)) < 3).alias("hold"))
-    rows = rows.repartition(4, F.xxhash64("x")).checkpoint()
+    same = ["kind", "label", "hold", "x"]
+    rows = rows.groupBy(*same).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = rows.repartition(TRAINING_PARTS, F.xxhash64("x")).sortWithinPartitions(*same).checkpoint()
     if {r["label"] for r in rows.where("NOT hold").select("label").distinct().collect()} != {0.0, 1.0}:
         return None
-    gbt = GBTClassifier(featuresCol="v", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=seed)
-    fitted = gbt.fit(rows.where("NOT hold").select(array_to_vector("x").alias("v"), "label"))
+    gbt = GBTClassifier(featuresCol="v", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=seed, weightCol="n")
+    fitted = gbt.fit(rows.where("NOT hold").select(array_to_vector("x").alias("v"), "label", "n"))
     trees = [(w, _parse(t.toDebugString.splitlines()[1:])) for w, t in zip(fitted.treeWeights, fitted.trees)]
     model = Model(trees, [2.0] * len(KINDS))
     # counts per kind and score in steps of 0.01: at most 404 rows
-    bins = (rows.where("hold").select("kind", "label", F.floor(model.score(F.col("x")) * 100).cast("int").alias("bin"))
-            .groupBy("kind", "bin").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).collect())
+    bins = (rows.where("hold").select("kind", "label", "n", F.floor(model.score(F.col("x")) * 100).cast("int").alias("bin"))
+            .groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("yes"), F.sum("n").alias("n")).collect())
     for k in range(len(KINDS)):
         yes = total = 0.0
         for r in sorted((r for r in bins if r["kind"] == k), key=lambda r: -r["bin"]):

@@ -3,6 +3,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratocast.llm import pii as P
 
@@ -110,3 +111,16 @@ def test_no_label_for_plausible_proposals(spark, docs):
 
 def test_nothing_to_train_on(spark, docs):
     assert P.train(docs([])) is None and P.train(docs(["plain words", None])) is None
+
+
+def test_every_document_teaches(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def stop(found):
+        raise Stop(found.count())
+
+    monkeypatch.setattr(P, "_training_rows", stop)
+    d = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to a@b.co "), "id").alias("text"))
+    with pytest.raises(Stop, match="^30000$"):
+        P.train(d)
